@@ -38,17 +38,20 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage is cut, lost executors do not matter.
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no DataFrame needs any more.
 
-    Shuffle files that only ``df`` needed are let go at once, not when the driver happens to
-    collect its garbage.
+    Else they stay until the driver happens to collect its garbage.
     """
-    spark, schema, path = df.sparkSession, df.schema, new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    del df
     gc.collect()
     spark._jvm.System.gc()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage is cut, lost executors do not matter."""
+    spark, schema, path = df.sparkSession, df.schema, new_table_path(df.sparkSession, name)
+    release(spark)
+    df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

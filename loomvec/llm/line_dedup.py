@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomvec.llm import textscan as ts
-from loomvec.llm.common import partitions, written
+from loomvec.llm.common import partitions, release, written
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
@@ -156,12 +156,26 @@ def _postings(n_tasks: int):
             rec, task = rec[order], task[order]
             starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])) if len(task) else np.zeros(0, np.int64)
             ends = np.append(starts[1:], len(task))[: len(starts)]
-            data = [rec[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            # column after column, which packs better than record after record
+            data = [b"".join(np.ascontiguousarray(rec[f][a:b]).tobytes() for f in RECORD.names) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(task[starts], pa.int32()), pa.array(data, pa.binary())], ["task", "data"])
 
     return run
 
 
+def unpacked(data: list[bytes]) -> np.ndarray:
+    """Records of packed rows."""
+    rec = np.empty(sum(map(len, data)) // RECORD.itemsize, RECORD)
+    at = 0
+    for x in data:
+        n, byte = len(x) // RECORD.itemsize, 0
+        for f in RECORD.names:
+            rec[f][at : at + n] = np.frombuffer(x, RECORD[f], n, byte)
+            byte += n * RECORD[f].itemsize
+        at += n
+    return rec
+
+
 def _earliest(later: np.ndarray, earlier: np.ndarray, rec: np.ndarray, pos: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of pairs of record numbers, each later set's ``most`` earliest partners, and whether it had more."""
     s, t = rec["set"][later], rec["set"][earlier]
@@ -228,12 +242,11 @@ def _candidates(threshold: float, most: int | None):
         held = [x for batch in batches for x in batch.column("data").to_pylist()]
         if not held:
             return
-        rec = np.frombuffer(b"".join(held), RECORD)
+        rec = unpacked(held)
         wanted = None
         if most is None:  # undecided sets are marked by the top bit of their size
             open_sets = rec["size"] >> 31 == 1
             wanted = np.unique(rec["set"][open_sets])
-            rec = rec.copy()
             rec["left"] -= rec["size"] & np.uint32(1 << 31)
             rec["size"] &= np.uint32((1 << 31) - 1)
         s, t, more = similar_pairs(rec, threshold, most, wanted)
@@ -356,6 +369,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         again = _verified(again, sets, rows, rank, threshold).where("similar").select(F.col("s").alias("one"))
         gone = gone.unionByName(written(again, "line-checks-again"))
     stay = sets.join(gone, "one", "left_anti").groupBy("d", "th").agg(F.collect_list("line").alias("stay"))
+    del rows, pairs, checked, unsure
+    release(docs.sparkSession)
     out = told.join(stay, ["d", "th"], "left").drop("d", "th")
     kinds = ", ".join(f"{n} {told.schema[n].dataType.simpleString()}" for n in carry)
     out = out.mapInArrow(_applied(carry, text), f"{kinds}, n_lines long, n_removed long")
