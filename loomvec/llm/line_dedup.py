@@ -12,9 +12,10 @@ with it. Steps:
    (a window over sizes), a positional filter and a bitmap filter (64 parity bits bound the
    symmetric difference from below); none of them loses a similar pair. Sets of under four
    words have no similar set but themselves and are not sent.
-4. Of the pairs that are left, each set keeps its ``FIRST`` earliest partners per task, and
-   those are verified exactly on the words. A set that had more partners and was not
-   decided goes through the step again with all of them.
+4. Of the pairs that are left, each set keeps its ``FIRST`` earliest partners per task. The
+   earliest of all is verified exactly on the words; sets that it does not decide have
+   all their kept partners verified, and those that had still more go through step 3 again
+   and keep all.
 5. The lines that stay are joined back to the documents.
 
 Step 3 moves packed arrays (one row per batch and task), not one row per word.
@@ -196,7 +197,7 @@ def _earliest(later: np.ndarray, earlier: np.ndarray, rec: np.ndarray, pos: np.n
 
 
 def similar_pairs(rec: np.ndarray, threshold: float, most: int | None, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(later set, earlier set, had more) that pass all filters, from one task's records."""
+    """(later records, earlier records, had more) that pass all filters, from one task's records."""
     key = rec["tok"].astype(np.uint64) << np.uint64(32) | rec["size"].astype(np.uint64)
     order = np.argsort(key, kind="stable")
     rec, key = rec[order], key[order]
@@ -234,7 +235,7 @@ def similar_pairs(rec: np.ndarray, threshold: float, most: int | None, wanted: n
             later, earlier, more = _earliest(np.concatenate([later, i]), np.concatenate([earlier, j]), rec, pos, most)
             more |= np.isin(rec["set"][later], had)
         a = z
-    return rec["set"][later], rec["set"][earlier], more
+    return rec[later], rec[earlier], more
 
 
 def _candidates(threshold: float, most: int | None):
@@ -250,17 +251,17 @@ def _candidates(threshold: float, most: int | None):
             rec["left"] -= rec["size"] & np.uint32(1 << 31)
             rec["size"] &= np.uint32((1 << 31) - 1)
         s, t, more = similar_pairs(rec, threshold, most, wanted)
-        yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(t.view(np.int64)), pa.array(more)], ["s", "t", "more"])
+        yield pa.RecordBatch.from_arrays([pa.array(s["set"].view(np.int64)), pa.array(t["set"].view(np.int64)), pa.array(t["d"]), pa.array(t["line"]), pa.array(more)], ["s", "t", "d", "line", "more"])
 
     return run
 
 
 def _pairs(sets: DataFrame, n_sets: int, threshold: float, most: int | None) -> DataFrame:
-    """(s, t, more): sets by number, t earlier than s."""
+    """(s, t, d, line, more): sets by number, t earlier than s, first in document d at line."""
     n_tasks = max(4 * partitions(sets.sparkSession), 12 * n_sets // POSTINGS)
     packed = sets.select("one", "d", "line", "size", "bits", "prefix").mapInArrow(_postings(n_tasks), "task int, data binary")
-    found = packed.repartition(n_tasks, "task").mapInArrow(_candidates(threshold, most), "s long, t long, more boolean")
-    return found.groupBy("s", "t").agg(F.max("more").alias("more"))
+    found = packed.repartition(n_tasks, "task").mapInArrow(_candidates(threshold, most), "s long, t long, d long, line int, more boolean")
+    return found.groupBy("s", "t", "d", "line").agg(F.max("more").alias("more"))
 
 
 def _line_words(rank: np.ndarray):
@@ -360,16 +361,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = written(sets.select("one", "two", "at.*", "size", "bits", "prefix"), "line-sets")
     n_sets = sets.count()
     pairs = written(_pairs(sets, n_sets, threshold, first), "line-pairs")
-    checked = written(_verified(pairs, sets, rows, rank, threshold), "line-checks")
-    unsure = checked.where("more and not similar").select(F.col("s").alias("one"))
+    earliest = pairs.groupBy("s").agg(F.min(F.struct("d", "line", "t"))["t"].alias("t"), (F.max("more") | (F.count("*") > 1)).alias("more"))
+    checked = written(_verified(earliest, sets, rows, rank, threshold), "line-checks")
     gone = checked.where("similar").select(F.col("s").alias("one"))
+    unsure = checked.where("more and not similar").select("s")
     if not unsure.isEmpty():
-        marked = sets.join(unsure.withColumn("open", F.lit(True)), "one", "left").withColumn("size", F.when(F.col("open"), F.col("size").bitwiseOR(-(2**31))).otherwise(F.col("size")))
-        again = written(_pairs(marked, n_sets, threshold, None), "line-pairs-again")
-        again = _verified(again, sets, rows, rank, threshold).where("similar").select(F.col("s").alias("one"))
-        gone = gone.unionByName(written(again, "line-checks-again"))
+        rest = written(_verified(pairs.join(unsure, "s").select("s", "t", "more"), sets, rows, rank, threshold), "line-checks")
+        gone = gone.unionByName(rest.where("similar").select(F.col("s").alias("one")))
+        unsure = rest.where("more and not similar").select("s")
+        if not unsure.isEmpty():
+            marked = sets.join(unsure.select(F.col("s").alias("one"), F.lit(True).alias("open")), "one", "left")
+            marked = marked.withColumn("size", F.when(F.col("open"), F.col("size").bitwiseOR(-(2**31))).otherwise(F.col("size")))
+            every = written(_pairs(marked, n_sets, threshold, None), "line-pairs")
+            rest = written(_verified(every.select("s", "t", "more"), sets, rows, rank, threshold), "line-checks")
+            gone = gone.unionByName(rest.where("similar").select(F.col("s").alias("one")))
     stay = sets.join(gone, "one", "left_anti").groupBy("d", "th").agg(F.collect_list("line").alias("stay"))
-    del rows, pairs, checked, unsure
+    del rows, pairs, earliest, checked, unsure
     release(docs.sparkSession)
     out = told.join(stay, ["d", "th"], "left").drop("d", "th")
     kinds = ", ".join(f"{n} {told.schema[n].dataType.simpleString()}" for n in carry)
