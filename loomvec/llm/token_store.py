@@ -29,7 +29,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +136,37 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Chunks:
+    """Ids of chunks of text, as bytes, remembered from batch to batch of a worker.
+
+    Two generations of at most ``MOST`` chunks each bound the memory; a chunk that is used
+    again moves to the young one.
+    """
+
+    MOST = 200_000
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer, self.young, self.old = tokenizer(path), {}, {}
+
+    def ids(self, chunks: list[bytes]) -> list[bytes]:
+        found = [self.young.get(c) or self.old.get(c) for c in chunks]
+        new = [k for k, f in enumerate(found) if f is None]
+        texts = [chunks[k].decode() for k in new]
+        for k, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else [], strict=True):
+            found[k] = np.array(e.ids, "<u4").tobytes()
+        for c, f in zip(chunks, found, strict=True):
+            if len(c) <= 64:
+                self.young[c] = f
+                if len(self.young) >= self.MOST:
+                    self.old, self.young = self.young, {}
+        return found
+
+
+@lru_cache(maxsize=2)
+def chunk_ids(path: str) -> Chunks:
+    return Chunks(path)
+
+
 def cuts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Starts of chunks: each text's, and each single space between characters that are surely no space.
 
@@ -167,10 +197,9 @@ def encode_texts(path: str, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     rep, which = ts.distinct_spans(raw, starts, ends) if len(starts) else (starts, starts)
     chunk, chunk_off = ts.joined(raw, starts[rep], ends[rep])
     data = chunk.tobytes()
-    texts = [data[a:b].decode() for a, b in zip(chunk_off[:-1].tolist(), chunk_off[1:].tolist(), strict=True)]
-    each = [e.ids for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-    flat = np.fromiter(chain.from_iterable(each), np.uint32)
-    size = np.fromiter(map(len, each), np.int64, len(each))
+    each = chunk_ids(path).ids([data[a:b] for a, b in zip(chunk_off[:-1].tolist(), chunk_off[1:].tolist(), strict=True)])
+    flat = np.frombuffer(b"".join(each), "<u4")
+    size = np.fromiter(map(len, each), np.int64, len(each)) // 4
     begin = np.cumsum(size) - size
     lens = size[which] if len(which) else np.zeros(0, np.int64)
     at = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(begin[which] if len(which) else lens, lens)
