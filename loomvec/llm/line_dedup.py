@@ -9,8 +9,8 @@ with it. Steps:
    before the shuffle.
 3. Each set sends its prefix (its ``n - ceil(t n) + 1`` rarest words) to the words' tasks.
    Two similar sets share a word of both prefixes. Pairs inside a word pass a length filter
-   (a window over sizes), a positional filter and a bitmap filter (64 parity bits bound the
-   symmetric difference from below); none of them loses a similar pair. Sets of under four
+   (a window over sizes), a positional filter and a bitmap filter (128 parity bits bound
+   the symmetric difference from below); none of them loses a similar pair. Sets of under four
    words have no similar set but themselves and are not sent.
 4. Of the pairs that are left, each set keeps its ``FIRST`` earliest partners per task. The
    earliest of all is verified exactly on the words; sets that it does not decide have
@@ -45,7 +45,7 @@ PAIRS = 4_000_000
 POSTINGS = 2_000_000
 NO_ID = 2**63 - 1
 
-RECORD = np.dtype([("tok", "<u4"), ("size", "<u4"), ("left", "<u4"), ("line", "<i4"), ("set", "<u8"), ("d", "<i8"), ("bits", "<u8")])
+RECORD = np.dtype([("tok", "<u4"), ("size", "<u4"), ("left", "<u4"), ("line", "<i4"), ("set", "<u8"), ("d", "<i8"), ("bits", "<u8"), ("bits2", "<u8")])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +103,12 @@ class LineSets:
         if len(first):
             self.one = np.add.reduceat(ts.mix(self.tokens), first) + self.size.astype(np.uint64)
             self.two = np.add.reduceat(ts.mix(self.tokens ^ np.uint64(0x5851F42D4C957F2D)), first)
-            self.bits = np.bitwise_xor.reduceat(np.uint64(1) << (self.tokens & np.uint64(63)), first)
+            bit = np.uint64(1) << (self.tokens & np.uint64(63))
+            second = self.tokens & np.uint64(64) != 0
+            self.bits = np.bitwise_xor.reduceat(np.where(second, np.uint64(0), bit), first)
+            self.bits2 = np.bitwise_xor.reduceat(np.where(second, bit, np.uint64(0)), first)
         else:
-            self.one = self.two = self.bits = np.zeros(0, np.uint64)
+            self.one = self.two = self.bits = self.bits2 = np.zeros(0, np.uint64)
 
 
 def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -131,8 +134,8 @@ def _first_sets(rank: np.ndarray, threshold: float):
             prefix = (sets.tokens[at] >> np.uint64(32)).astype("<u4").tobytes()
             ends = 4 * np.concatenate([[0], np.cumsum(n)])
             packed = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(prefix)])
-            cols = [pa.array(sets.one[pick].view(np.int64)), pa.array(sets.two[pick].view(np.int64)), pa.array(d[pick]), pa.array(th[pick]), pa.array(sets.line[pick].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(sets.bits[pick].view(np.int64)), packed]
-            yield pa.RecordBatch.from_arrays(cols, ["one", "two", "d", "th", "line", "size", "bits", "prefix"])
+            cols = [pa.array(sets.one[pick].view(np.int64)), pa.array(sets.two[pick].view(np.int64)), pa.array(d[pick]), pa.array(th[pick]), pa.array(sets.line[pick].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(sets.bits[pick].view(np.int64)), pa.array(sets.bits2[pick].view(np.int64)), packed]
+            yield pa.RecordBatch.from_arrays(cols, ["one", "two", "d", "th", "line", "size", "bits", "bits2", "prefix"])
 
     return run
 
@@ -149,9 +152,9 @@ def _postings(n_tasks: int):
             size = batch.column("size").to_numpy(zero_copy_only=False)
             rec["size"] = np.repeat(size, n)
             rec["left"] = rec["size"] - (np.arange(len(rec)) - np.repeat(off[:-1] // 4, n))  # words from this one on
-            for c, f in (("one", "set"), ("d", "d"), ("line", "line"), ("bits", "bits")):
+            for c, f in (("one", "set"), ("d", "d"), ("line", "line"), ("bits", "bits"), ("bits2", "bits2")):
                 value = batch.column(c).to_numpy(zero_copy_only=False)
-                rec[f] = np.repeat(value.view(np.uint64) if f in ("set", "bits") else value, n)
+                rec[f] = np.repeat(value.view(np.uint64) if f in ("set", "bits", "bits2") else value, n)
             task = (ts.mix(rec["tok"].astype(np.uint64)) % np.uint64(n_tasks)).astype(np.int64)
             order = np.argsort(task, kind="stable")
             rec, task = rec[order], task[order]
@@ -204,6 +207,7 @@ def similar_pairs(rec: np.ndarray, threshold: float, most: int | None, wanted: n
     pos = np.empty(len(rec), np.int64)
     pos[np.lexsort((rec["set"], rec["line"], rec["d"]))] = np.arange(len(rec))
     size, left, bits = rec["size"].astype(np.int32), rec["left"].astype(np.int32), rec["bits"]
+    bits2 = rec["bits2"]
     shortest = np.ceil(threshold * size - 1e-9).astype(np.uint64)
     low = np.searchsorted(key, key >> np.uint64(32) << np.uint64(32) | shortest, "left")
     number = np.arange(len(rec))
@@ -221,7 +225,10 @@ def similar_pairs(rec: np.ndarray, threshold: float, most: int | None, wanted: n
         need = np.ceil(factor * both - 1e-9).astype(np.int32)
         ok = np.minimum(left[i], left[j]) >= need
         i, j, spare = i[ok], j[ok], (both - 2 * need)[ok]
-        ok = np.bitwise_count(bits[i] ^ bits[j]) <= spare
+        apart = np.bitwise_count(bits[i] ^ bits[j])
+        ok = apart <= spare
+        i, j, spare, apart = i[ok], j[ok], spare[ok], apart[ok]
+        ok = apart + np.bitwise_count(bits2[i] ^ bits2[j]) <= spare
         i, j = i[ok], j[ok]
         ok = rec["set"][i] != rec["set"][j]
         i, j = i[ok], j[ok]
@@ -259,7 +266,7 @@ def _candidates(threshold: float, most: int | None):
 def _pairs(sets: DataFrame, n_sets: int, threshold: float, most: int | None) -> DataFrame:
     """(s, t, d, line, more): sets by number, t earlier than s, first in document d at line."""
     n_tasks = max(4 * partitions(sets.sparkSession), 12 * n_sets // POSTINGS)
-    packed = sets.select("one", "d", "line", "size", "bits", "prefix").mapInArrow(_postings(n_tasks), "task int, data binary")
+    packed = sets.select("one", "d", "line", "size", "bits", "bits2", "prefix").mapInArrow(_postings(n_tasks), "task int, data binary")
     found = packed.repartition(n_tasks, "task").mapInArrow(_candidates(threshold, most), "s long, t long, d long, line int, more boolean")
     return found.groupBy("s", "t", "d", "line").agg(F.max("more").alias("more"))
 
@@ -356,9 +363,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = told.withColumns({"d": F.coalesce(F.col("c0").cast("long"), F.lit(NO_ID)), "th": F.xxhash64(text)})
     rows = told.select("d", "th", F.col(text).alias("t"))
     rank = rarity(rows)
-    sets = rows.mapInArrow(_first_sets(rank, threshold), "one long, two long, d long, th long, line int, size int, bits long, prefix binary")
-    sets = sets.groupBy("one", "two").agg(F.min(F.struct("d", "th", "line")).alias("at"), *[F.first(c).alias(c) for c in ("size", "bits", "prefix")])
-    sets = written(sets.select("one", "two", "at.*", "size", "bits", "prefix"), "line-sets")
+    sets = rows.mapInArrow(_first_sets(rank, threshold), "one long, two long, d long, th long, line int, size int, bits long, bits2 long, prefix binary")
+    sets = sets.groupBy("one", "two").agg(F.min(F.struct("d", "th", "line")).alias("at"), *[F.first(c).alias(c) for c in ("size", "bits", "bits2", "prefix")])
+    sets = written(sets.select("one", "two", "at.*", "size", "bits", "bits2", "prefix"), "line-sets")
     n_sets = sets.count()
     pairs = written(_pairs(sets, n_sets, threshold, first), "line-pairs")
     earliest = pairs.groupBy("s").agg(F.min(F.struct("d", "line", "t"))["t"].alias("t"), (F.max("more") | (F.count("*") > 1)).alias("more"))
