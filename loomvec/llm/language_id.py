@@ -39,6 +39,7 @@ from loomvec.llm import textscan as ts
 
 SAMPLE_CHARS = 24_000
 SAMPLE_ROWS = 400
+MAX_LANGUAGES = 1000
 SEGMENT = 1024
 BLANK = 0
 
@@ -184,9 +185,14 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rows = labelled.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
     counts = labelled.where(F.col(f"`{lang_col}`").isNotNull()).groupBy(F.col(f"`{lang_col}`").alias("lang")).count()
+    sizes = {r.lang: r["count"] for r in counts.limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    if not sizes:
+        return ()
     # twice the rows that are wanted, so that chance does not leave a language short
-    share = counts.select("lang", F.least(F.lit(1.0), F.lit(2.0 * sample_rows) / F.col("count")).alias("share"))
-    near = rows.join(share, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2.0 * sample_rows / n))])
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
     top = near.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))).where(F.col("at") <= sample_rows)
     # a row adds at most what a language may hold
     got: dict[str, list[str]] = {}
