@@ -142,7 +142,7 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
 
 def _one_block(items: tuple[tuple[str, str], ...], carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, "t", 4_000_000):
+        for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
             words = ts.Words(*ts.text_bytes(batch.column("t")))
             firsts, lasts, found = search(items, words)
             hit = np.concatenate([[0], np.cumsum(covered(len(words.hashes), firsts, lasts))])
@@ -157,7 +157,7 @@ def _some_blocks(items: tuple[tuple[str, str], ...]):
     """Adds one block's spans (pairs of word numbers) and items to what earlier blocks left in the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, "t", 4_000_000):
+        for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
             words = ts.Words(*ts.text_bytes(batch.column("t")))
             firsts, lasts, found = search(items, words)
             doc = np.searchsorted(words.first, firsts, "right") - 1
@@ -176,7 +176,7 @@ def _some_blocks(items: tuple[tuple[str, str], ...]):
 
 def _judged(carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, "t", 4_000_000):
+        for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
             words = ts.Words(*ts.text_bytes(batch.column("t")))
             rows = []
             for n, spans, names in zip(np.diff(words.first).tolist(), batch.column("spans").to_pylist(), batch.column("names").to_pylist(), strict=True):

@@ -50,7 +50,7 @@ RECORD = np.dtype([("tok", "<u4"), ("size", "<u4"), ("left", "<u4"), ("line", "<
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
-    for batch in ts.gathered(batches, "t", 4_000_000):
+    for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
         words = ts.Words(*ts.text_bytes(batch.column("t")))
         total += np.bincount((words.hashes >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
     seen = np.flatnonzero(total)
@@ -119,7 +119,7 @@ def _first_sets(rank: np.ndarray, threshold: float):
     """One row per distinct word set of a batch: its earliest line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, "t", 4_000_000):
+        for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
             sets = LineSets(*ts.text_bytes(batch.column("t")), rank)
             d = batch.column("d").to_numpy(zero_copy_only=False)[sets.doc]
             th = batch.column("th").to_numpy(zero_copy_only=False)[sets.doc]
@@ -275,7 +275,7 @@ def _line_words(rank: np.ndarray):
     """Words of the asked lines: (one, words), from (t, asked lines, asked sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, "t", 4_000_000):
+        for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
             sets = LineSets(*ts.text_bytes(batch.column("t")), rank)
             asked = batch.column("asked").combine_chunks() if isinstance(batch.column("asked"), pa.ChunkedArray) else batch.column("asked")
             doc = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
@@ -328,7 +328,7 @@ def _applied(carry: list[str], text: str):
     """Texts without the lines that have words and are not listed as staying."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, text, 4_000_000):
+        for batch in ts.gathered(batches, text, ts.BATCH_BYTES):
             raw, off = ts.text_bytes(batch.column(text))
             starts, _ = ts.spans(np.frombuffer(raw.tobytes().translate(ts.WORD_MAP), np.uint8) != ts.SPACE, off)
             filled = off[:-1][np.diff(off) > 0]

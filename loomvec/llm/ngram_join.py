@@ -103,7 +103,7 @@ def _digests(words: ts.Words) -> list[bytes | None]:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in ts.gathered(batches, "t", 2_000_000):
+    for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
         words = ts.Words(*ts.text_bytes(batch.column("t")))
         sig = signatures(*shingles(words))
         rows = [s.tobytes() for s in sig]
@@ -112,7 +112,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _digested(carry: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, text, 4_000_000):
+        for batch in ts.gathered(batches, text, ts.BATCH_BYTES):
             words = ts.Words(*ts.text_bytes(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(_digests(words), pa.binary())], [*carry, "class"])
 

@@ -304,7 +304,7 @@ def model(path: str) -> PieceModel:
 def _encoded(path: str, text: str, keep: list[str], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in ts.gathered(batches, text, 4_000_000):
+        for batch in ts.gathered(batches, text, ts.BATCH_BYTES):
             raw, off = ts.text_bytes(batch.column(text))
             ids, id_off, which, first = m.encode_batch(raw, off)
             flat = ids.tolist()

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SPACE = 0x20
+BATCH_BYTES = 1_000_000  # text that a worker handles at once; its arrays take up to a hundred times as much
 _M = np.uint64(0x9E3779B97F4A7C15)
 _POW = np.ones(1, np.uint64), np.ones(1, np.uint64)
 

@@ -238,7 +238,7 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Trees:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, toxic texts, other texts), summed per batch."""
-    for batch in ts.gathered(batches, "t", 4_000_000):
+    for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
         toxic = batch.column("y").to_numpy(zero_copy_only=False)
         words = ts.Words(*ts.text_bytes(batch.column("t")))
         doc = np.searchsorted(words.first, np.arange(len(words.hashes)), "right") - 1
@@ -278,7 +278,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     lexicon = Lexicon(top["k"].to_numpy(np.int64).view(np.uint64), top["odds"].to_numpy(float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, "t", 4_000_000):
+        for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
             x = features(*ts.text_bytes(batch.column("t")), lexicon)
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["d", "y", "x"])
 
@@ -290,7 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
 
 def _scored(lexicon: Lexicon, trees: Trees, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, "t", 4_000_000):
+        for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
             score = trees.score(features(*ts.text_bytes(batch.column("t")), lexicon))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + [pa.array(score, pa.float64())], [*carry, "score"])
 
