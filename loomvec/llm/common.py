@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = "4m"
+
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -32,6 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR[app]}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches to Python hold ``ARROW_BYTES``, where the session names no bound.
+
+    Spark's default of 64 MB is held several times over by each task's JVM and Python side.
+    """
+    if spark.conf.get(ARROW_LIMIT, None) is None:
+        spark.conf.set(ARROW_LIMIT, ARROW_BYTES)
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/loomvec/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
@@ -51,6 +63,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage is cut, lost executors do not matter."""
     spark, schema, path = df.sparkSession, df.schema, new_table_path(df.sparkSession, name)
     release(spark)
+    bound_batches(spark)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -70,4 +83,5 @@ def crc32_of_id(col: Column) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
