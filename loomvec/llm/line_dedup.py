@@ -15,7 +15,8 @@ with it. Steps:
 4. Of the pairs that are left, each set keeps its ``FIRST`` earliest partners per task. The
    earliest of all is verified exactly on the words; sets that it does not decide have
    all their kept partners verified, and those that had still more go through step 3 again
-   and keep all.
+   and keep all. Only words of the prefixes of such sets are sent then: a bitmap of ``FLAGS``
+   bits tells them, whatever the number of sets.
 5. The lines that stay are joined back to the documents.
 
 Step 3 moves packed arrays (one row per batch and task), not one row per word.
@@ -43,6 +44,7 @@ FIRST = 3
 SMALLEST = 4
 PAIRS = 4_000_000
 POSTINGS = 2_000_000
+FLAGS = 1 << 22
 NO_ID = 2**63 - 1
 
 RECORD = np.dtype([("tok", "<u4"), ("size", "<u4"), ("left", "<u4"), ("line", "<i4"), ("set", "<u8"), ("d", "<i8"), ("bits", "<u8"), ("bits2", "<u8")])
@@ -140,10 +142,30 @@ def _first_sets(rank: np.ndarray, threshold: float):
     return run
 
 
-def _postings(n_tasks: int):
-    """Packed records of each prefix word, one row per batch and task."""
+def _flag(tok: np.ndarray) -> np.ndarray:
+    """The bit of each prefix word (the top half of a hash)."""
+    return (tok >> np.uint32(32 - (FLAGS.bit_length() - 1))).astype(np.int32)
+
+
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, _ = ts.text_bytes(batch.column("prefix"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_flag(np.frombuffer(raw.tobytes(), "<u4"))))], ["flag"])
+
+
+def open_flags(sets: DataFrame) -> np.ndarray:
+    """Packed bits of the prefix words of ``sets``; at most ``FLAGS`` numbers come to the driver."""
+    seen = sets.select("prefix").mapInArrow(_flagged, "flag int").distinct().toPandas()
+    flags = np.zeros(FLAGS, bool)
+    flags[seen["flag"].to_numpy(np.int64)] = True
+    return np.packbits(flags)
+
+
+def _postings(n_tasks: int, flags: np.ndarray | None = None):
+    """Packed records of each prefix word (of those in ``flags``), one row per batch and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None if flags is None else np.unpackbits(flags).astype(bool)
         for batch in batches:
             raw, off = ts.text_bytes(batch.column("prefix"))
             n = np.diff(off) // 4
@@ -155,6 +177,8 @@ def _postings(n_tasks: int):
             for c, f in (("one", "set"), ("d", "d"), ("line", "line"), ("bits", "bits"), ("bits2", "bits2")):
                 value = batch.column(c).to_numpy(zero_copy_only=False)
                 rec[f] = np.repeat(value.view(np.uint64) if f in ("set", "bits", "bits2") else value, n)
+            if asked is not None:
+                rec = rec[asked[_flag(rec["tok"])]]
             task = (ts.mix(rec["tok"].astype(np.uint64)) % np.uint64(n_tasks)).astype(np.int64)
             order = np.argsort(task, kind="stable")
             rec, task = rec[order], task[order]
@@ -208,6 +232,7 @@ def similar_pairs(rec: np.ndarray, threshold: float, most: int | None, wanted: n
     pos[np.lexsort((rec["set"], rec["line"], rec["d"]))] = np.arange(len(rec))
     size, left, bits = rec["size"].astype(np.int32), rec["left"].astype(np.int32), rec["bits"]
     bits2 = rec["bits2"]
+    open_set = None if wanted is None else np.isin(rec["set"], wanted)
     shortest = np.ceil(threshold * size - 1e-9).astype(np.uint64)
     low = np.searchsorted(key, key >> np.uint64(32) << np.uint64(32) | shortest, "left")
     number = np.arange(len(rec))
@@ -221,6 +246,9 @@ def similar_pairs(rec: np.ndarray, threshold: float, most: int | None, wanted: n
         n = count[a:z]
         i = np.repeat(number[a:z], n)
         j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:z], n)
+        if open_set is not None:
+            ok = open_set[i] | open_set[j]
+            i, j = i[ok], j[ok]
         both = size[i] + size[j]
         need = np.ceil(factor * both - 1e-9).astype(np.int32)
         ok = np.minimum(left[i], left[j]) >= need
@@ -234,8 +262,8 @@ def similar_pairs(rec: np.ndarray, threshold: float, most: int | None, wanted: n
         i, j = i[ok], j[ok]
         swap = pos[i] < pos[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        if wanted is not None:
-            ok = np.isin(rec["set"][i], wanted)
+        if open_set is not None:
+            ok = open_set[i]
             i, j = i[ok], j[ok]
         if len(i):
             had = np.concatenate([rec["set"][later[more]], np.zeros(0, np.uint64)])
@@ -257,16 +285,17 @@ def _candidates(threshold: float, most: int | None):
             wanted = np.unique(rec["set"][open_sets])
             rec["left"] -= rec["size"] & np.uint32(1 << 31)
             rec["size"] &= np.uint32((1 << 31) - 1)
+            rec = rec[np.isin(rec["tok"], np.unique(rec["tok"][open_sets]))]
         s, t, more = similar_pairs(rec, threshold, most, wanted)
         yield pa.RecordBatch.from_arrays([pa.array(s["set"].view(np.int64)), pa.array(t["set"].view(np.int64)), pa.array(t["d"]), pa.array(t["line"]), pa.array(more)], ["s", "t", "d", "line", "more"])
 
     return run
 
 
-def _pairs(sets: DataFrame, n_sets: int, threshold: float, most: int | None) -> DataFrame:
+def _pairs(sets: DataFrame, n_sets: int, threshold: float, most: int | None, flags: np.ndarray | None = None) -> DataFrame:
     """(s, t, d, line, more): sets by number, t earlier than s, first in document d at line."""
     n_tasks = max(4 * partitions(sets.sparkSession), 12 * n_sets // POSTINGS)
-    packed = sets.select("one", "d", "line", "size", "bits", "bits2", "prefix").mapInArrow(_postings(n_tasks), "task int, data binary")
+    packed = sets.select("one", "d", "line", "size", "bits", "bits2", "prefix").mapInArrow(_postings(n_tasks, flags), "task int, data binary")
     found = packed.repartition(n_tasks, "task").mapInArrow(_candidates(threshold, most), "s long, t long, d long, line int, more boolean")
     return found.groupBy("s", "t", "d", "line").agg(F.max("more").alias("more"))
 
@@ -379,7 +408,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not unsure.isEmpty():
             marked = sets.join(unsure.select(F.col("s").alias("one"), F.lit(True).alias("open")), "one", "left")
             marked = marked.withColumn("size", F.when(F.col("open"), F.col("size").bitwiseOR(-(2**31))).otherwise(F.col("size")))
-            every = written(_pairs(marked, n_sets, threshold, None), "line-pairs")
+            flags = open_flags(sets.join(unsure.select(F.col("s").alias("one")), "one", "left_semi"))
+            every = written(_pairs(marked, n_sets, threshold, None, flags), "line-pairs")
             rest = written(_verified(every.select("s", "t", "more"), sets, rows, rank, threshold), "line-checks")
             gone = gone.unionByName(rest.where("similar").select(F.col("s").alias("one")))
     stay = sets.join(gone, "one", "left_anti").groupBy("d", "th").agg(F.collect_list("line").alias("stay"))
