@@ -13,10 +13,10 @@ with it. Steps:
    the symmetric difference from below); none of them loses a similar pair. Sets of under four
    words have no similar set but themselves and are not sent.
 4. Of the pairs that are left, each set keeps its ``FIRST`` earliest partners per task. The
-   earliest of all is verified exactly on the words; sets that it does not decide have
-   all their kept partners verified, and those that had still more go through step 3 again
-   and keep all. Only words of the prefixes of such sets are sent then: a bitmap of ``FLAGS``
-   bits tells them, whatever the number of sets.
+   earliest of all is verified exactly on the words; sets that it does not decide and that
+   had more go through step 3 again, keep all partners, and have them all verified. Only
+   words of the prefixes of such sets are sent then: a bitmap of ``FLAGS`` bits tells them,
+   whatever the number of sets.
 5. The lines that stay are joined back to the documents.
 
 Step 3 moves packed arrays (one row per batch and task), not one row per word.
@@ -40,7 +40,7 @@ from loomvec.llm.common import partitions, release, written
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
-FIRST = 3
+FIRST = 1
 SMALLEST = 4
 PAIRS = 4_000_000
 POSTINGS = 2_000_000
@@ -402,16 +402,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = checked.where("similar").select(F.col("s").alias("one"))
     unsure = checked.where("more and not similar").select("s")
     if not unsure.isEmpty():
-        rest = written(_verified(pairs.join(unsure, "s").select("s", "t", "more"), sets, rows, rank, threshold), "line-checks")
+        marked = sets.join(unsure.select(F.col("s").alias("one"), F.lit(True).alias("open")), "one", "left")
+        marked = marked.withColumn("size", F.when(F.col("open"), F.col("size").bitwiseOR(-(2**31))).otherwise(F.col("size")))
+        flags = open_flags(sets.join(unsure.select(F.col("s").alias("one")), "one", "left_semi"))
+        every = written(_pairs(marked, n_sets, threshold, None, flags), "line-pairs")
+        rest = written(_verified(every.select("s", "t", "more"), sets, rows, rank, threshold), "line-checks")
         gone = gone.unionByName(rest.where("similar").select(F.col("s").alias("one")))
-        unsure = rest.where("more and not similar").select("s")
-        if not unsure.isEmpty():
-            marked = sets.join(unsure.select(F.col("s").alias("one"), F.lit(True).alias("open")), "one", "left")
-            marked = marked.withColumn("size", F.when(F.col("open"), F.col("size").bitwiseOR(-(2**31))).otherwise(F.col("size")))
-            flags = open_flags(sets.join(unsure.select(F.col("s").alias("one")), "one", "left_semi"))
-            every = written(_pairs(marked, n_sets, threshold, None, flags), "line-pairs")
-            rest = written(_verified(every.select("s", "t", "more"), sets, rows, rank, threshold), "line-checks")
-            gone = gone.unionByName(rest.where("similar").select(F.col("s").alias("one")))
     stay = sets.join(gone, "one", "left_anti").groupBy("d", "th").agg(F.collect_list("line").alias("stay"))
     del rows, pairs, earliest, checked, unsure
     release(docs.sparkSession)
