@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomvec.llm.common import written
+from loomvec.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,16 +27,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return lower.unionByName(least.select("a", F.col("least").alias("b"))).where("a != b").distinct()
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) for every node of an edge table (a, b); root is the component's least node.
 
     Self loops and repeated edges are allowed; a node without an edge to another is absent.
+    The result reads the table ``name`` of ``scratch``.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    edges = written(edges, name)
+    edges = scratch.write(edges, name)
     mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     while mark[0]:
-        edges = written(_small_star(_large_star(edges)), name)
+        edges = scratch.write(_small_star(_large_star(edges)), name)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

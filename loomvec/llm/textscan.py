@@ -1,7 +1,8 @@
 """Whole Arrow text columns as flat numpy arrays: bytes, words, word hashes.
 
 A batch of texts stays one UTF-8 byte array; words are (start, end) byte spans and a
-64-bit polynomial hash. No Python object is made per word.
+64-bit hash of scrambled 8-byte chunks. No Python object is made per word. A hash only
+groups; whatever must be exact compares bytes (``distinct_spans``).
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import pyarrow as pa
 
 SPACE = 0x20
 BATCH_BYTES = 1_000_000  # text that a worker handles at once; its arrays take up to a hundred times as much
-_M = np.uint64(0x9E3779B97F4A7C15)
-_POW = np.ones(1, np.uint64), np.ones(1, np.uint64)
+_CHUNK = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first k of 8 bytes
 
 
 def _lowered() -> bytes:
@@ -30,6 +32,7 @@ def _lowered() -> bytes:
 
 
 WORD_MAP = _lowered()
+AS_IT_IS = bytes(range(256))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,20 +44,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash's multiplier and of its inverse, modulo 2**64."""
-    global _POW
-    if len(_POW[0]) < n:
-        n = max(n, 1 << 16)
-        tables = []
-        for base in (int(_M), pow(int(_M), -1, 1 << 64)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            tables.append(np.cumprod(p, dtype=np.uint64))
-        _POW = tables[0], tables[1]
-    return _POW
-
-
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -109,26 +98,26 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterato
     give_back()
 
 
-class ByteHash:
-    """64-bit polynomial hashes of any spans of a byte array, from one running sum."""
-
-    def __init__(self, raw: np.ndarray) -> None:
-        power = powers(len(raw) + 1)[0]
-        value = raw.astype(np.uint64)
-        value += np.uint64(1)
-        value *= power[: len(raw)]
-        self.sum = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(value, out=self.sum[1:])
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        back = powers(len(self.sum))[1]
-        h = (self.sum[ends] - self.sum[starts]) * back[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span: its 8-byte chunks, each scrambled with its number, summed up.
 
-
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    return ByteHash(raw).of(starts, ends)
+    Hashes of different seeds are independent, so two make a 128-bit key.
+    """
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    window = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    salt = mix(np.array([seed], np.uint64) + _CHUNK)
+    lens = ends - starts
+    out = mix((window[starts] & _FIRST_BYTES[np.minimum(lens, 8)]) ^ salt)
+    more = np.flatnonzero(lens > 8)
+    if len(more):
+        n = (lens[more] - 1) // 8
+        first = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) - np.repeat(first, n) + 1
+        at = np.repeat(starts[more], n) + 8 * k
+        part = window[at] & _FIRST_BYTES[np.minimum(np.repeat(ends[more], n) - at, 8)]
+        out[more] += np.add.reduceat(mix(part ^ mix(k.astype(np.uint64) * _CHUNK + salt)), first)
+    return mix(out + lens.astype(np.uint64) * _LENGTH)
 
 
 def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +144,24 @@ class Words:
         self.low = np.frombuffer(raw.tobytes().translate(table), np.uint8)
         self.starts, self.ends = spans(self.low != SPACE, off)
         self.first = np.searchsorted(self.starts, off)
-        self.bytes = ByteHash(self.low)
-        self.hashes = self.bytes.of(self.starts, self.ends)
+        self.hashes = span_hashes(self.low, self.starts, self.ends)
+
+    def second(self) -> np.ndarray:
+        """Another hash of each word; with ``hashes`` a 128-bit key."""
+        return span_hashes(self.low, self.starts, self.ends, 1)
+
+    def plain(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of each text with one space between them, and the texts' offsets."""
+        lens = self.ends - self.starts + 1
+        size = np.concatenate([[0], np.cumsum(lens)])
+        at = np.arange(int(size[-1])) - np.repeat(size[:-1], lens) + np.repeat(self.starts, lens)
+        raw = np.append(self.low, np.uint8(SPACE))[at]
+        raw[size[1:] - 1] = SPACE
+        off = size[self.first]  # each text with words ends in one space too many
+        filled = np.diff(off) > 0
+        keep = np.ones(len(raw), bool)
+        keep[off[1:][filled] - 1] = False
+        return raw[keep], off - np.concatenate([[0], np.cumsum(filled)])
 
     def words(self, a: int, b: int) -> list[bytes]:
         """The words a..b-1 of one text."""

@@ -64,7 +64,7 @@ def keyed(hashes: np.ndarray, kind: int) -> np.ndarray:
 def beginnings(words: ts.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(word number, key) of words longer than n bytes."""
     at = np.flatnonzero(words.ends - words.starts > n)
-    return at, keyed(words.bytes.of(words.starts[at], words.starts[at] + n), n)
+    return at, keyed(ts.span_hashes(words.low, words.starts[at], words.starts[at] + n), n)
 
 
 class Lexicon:
