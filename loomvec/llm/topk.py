@@ -6,8 +6,11 @@ block a candidate survives only if its score so far plus the largest value the r
 dimensions can add (the product of the remaining norms) reaches the query's k-th best.
 Survivors are compacted before the next block.
 
-Queries go to the tasks in blocks of about ``query_block`` rows, which bounds what a task
-holds; each pass reads all candidates once and keeps k+1 rows per query and partition.
+Queries and candidates meet in a grid of tasks: a task holds the queries of one group (about
+``query_group`` of them) and reads the candidates of one stripe (about ``stripe`` of them)
+past them; it keeps k+1 rows per query. A query goes to each stripe's task and a candidate
+to each group's, so the plan has the same few scans however many queries there are, no task
+grows with the table, and the driver gets two counts.
 
 Defined results: a vector that is null or holds a null or non-finite component takes no
 part; vectors of different lengths do not meet; an empty vector scores 0; a query never
@@ -26,9 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomvec.llm.common import partitions
+
 SCALE = 1024
 DIMS = 8
-QUERY_BLOCK = 2048
+QUERY_GROUP = 8192
+STRIPE = 200_000
 CANDIDATES = 4096
 _LONG = 2**63
 
@@ -104,47 +110,65 @@ def scan(queries: np.ndarray, where: np.ndarray, ids: np.ndarray, rows: np.ndarr
             best.add(w, score.astype(np.int64), ids[alive])
 
 
-def _partial(queries: dict[int, tuple[np.ndarray, np.ndarray]], n: int, k: int):
+def _searched(k: int):
+    """The best rows of a task's queries, which come first, among its candidates."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(n, k)
+        numbers: list[np.ndarray] = []
+        names: list[np.ndarray] = []
+        own: list[int] = []
+        found: dict[int, list[np.ndarray]] = {}
+        seats: dict[int, list[np.ndarray]] = {}
+        queries: dict[int, tuple[np.ndarray, np.ndarray]] | None = None
+        best = Best(0, k)
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            for own, rows in by_length(batch.column("v"), ids):
-                if rows.shape[1] in queries:
-                    for a in range(0, len(own), CANDIDATES):
-                        scan(*queries[rows.shape[1]], own[a : a + CANDIDATES], rows[a : a + CANDIDATES], best)
-        counts = np.array([len(s) for s in best.score])
-        none = np.zeros(0, np.int64)
-        cols = [np.repeat(np.arange(n), counts), np.concatenate([none, *best.id]), np.concatenate([none, *best.score])]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["q", "vec_id", "score"])
+            number = batch.column("q")
+            for part in (batch.filter(number.is_valid()), batch.filter(number.is_null())):
+                if not part.num_rows:
+                    continue
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                if part.column("q").null_count == 0:
+                    place = np.arange(part.num_rows) + sum(map(len, names))
+                    numbers.append(part.column("q").to_numpy(zero_copy_only=False))
+                    names.append(ids)
+                    own += [0] * part.num_rows
+                    for seat, rows in by_length(part.column("v"), place):
+                        found.setdefault(rows.shape[1], []).append(rows)
+                        seats.setdefault(rows.shape[1], []).append(seat)
+                        for w, r in zip(seat.tolist(), rows, strict=True):
+                            own[w] = _clamped(r, r[:, None])[0]
+                    continue
+                if queries is None:
+                    queries = {n: (np.concatenate(found[n]), np.concatenate(seats[n])) for n in found}
+                    best = Best(len(own), k)
+                for mine, rows in by_length(part.column("v"), ids):
+                    if rows.shape[1] in queries:
+                        for a in range(0, len(mine), CANDIDATES):
+                            scan(*queries[rows.shape[1]], mine[a : a + CANDIDATES], rows[a : a + CANDIDATES], best)
+        counts = np.array([len(s) for s in best.score], np.int64)
+        if not counts.sum():
+            return
+        cols = [np.repeat(np.concatenate(numbers), counts), np.repeat(np.concatenate(names), counts), np.repeat(np.array(own, np.int64), counts), np.concatenate(best.id), np.concatenate(best.score)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["q", "query_id", "own", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, query_rows: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, query_rows: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", query_group: int = QUERY_GROUP, stripe: int = STRIPE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for each row where ``query_rows`` holds."""
-    spark = vectors.sparkSession
     rows = whole_vectors(vectors, id_col, vec_col)
     asked = whole_vectors(vectors.where(query_rows), id_col, vec_col)
-    n_blocks = asked.count() // query_block + 1
-    found = None
-    for b in range(n_blocks):
-        mine = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks)) == b)
-        table = mine.toArrow()
-        if not table.num_rows:
-            continue
-        ids = table.column("id").to_numpy()
-        queries, seat, own = {}, 0, []
-        for q_ids, q_rows in by_length(table.column("v").combine_chunks(), ids):
-            queries[q_rows.shape[1]] = (q_rows, np.arange(seat, seat + len(q_ids)))
-            seat += len(q_ids)
-            own += [(i, int(q), _clamped(r, r[:, None])[0]) for i, q, r in zip(queries[q_rows.shape[1]][1].tolist(), q_ids, q_rows, strict=True)]
-        part = rows.mapInArrow(_partial(queries, seat, k + 1), "q long, vec_id long, score long")
-        who = spark.createDataFrame(own, "q long, query_id long, own long")
-        part = part.join(F.broadcast(who), "q").withColumn("q", F.lit(b).cast("long") * (1 << 32) + F.col("q"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    n_groups = asked.count() // query_group + 1
+    n_stripes = max(partitions(vectors.sparkSession), vectors.count() // stripe + 1)
+    # rows are numbered, so that copies of one row are queries of their own and do not crowd into one stripe
+    number = F.monotonically_increasing_id()
+    asked = asked.withColumn("q", number).withColumn("group", F.pmod(F.xxhash64("q"), F.lit(n_groups)).cast("int"))
+    asked = asked.select("id", "v", "q", "group", F.explode(F.sequence(F.lit(0), F.lit(n_stripes - 1))).alias("stripe"))
+    rows = rows.withColumn("stripe", F.pmod(F.xxhash64(number), F.lit(n_stripes)).cast("int"))
+    rows = rows.select("id", "v", F.lit(None).cast("long").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"), "stripe")
+    cell = (F.col("group") * n_stripes + F.col("stripe")).cast("int")
+    dealt = asked.unionByName(rows).repartitionById(n_groups * n_stripes, cell).sortWithinPartitions(F.col("q").isNull())
+    found = dealt.select("id", "v", "q").mapInArrow(_searched(k + 1), "q long, query_id long, own long, vec_id long, score long")
     order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
     # the query's own row is one of those with its id and its self-score; one of them goes
