@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomvec.llm import decontaminate, language_id, line_dedup, ngram_join, piece_bpe, token_store, topk, toxicity, url_filter, warc_revisit
 from loomvec.llm.common import crc32_of_id, new_table_path, read
+from loomvec.llm.urls import canonical_url
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
@@ -16,7 +17,7 @@ TOXIC_AT = 0.3
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
-LISTED_URLS = [("spam-farm.example.org",), ("spam-farm.example.com",), ("spam-farm.example.net",), ("cheap-pills.example.com",), ("www.cheap-pills.example.com",)]
+LISTED_HOSTS = ["spam-farm.example.org", "spam-farm.example.com", "spam-farm.example.net", "cheap-pills.example.com"]
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,18 +31,27 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Each page as a full response, and one revisit of its URL shortly after.
+    """A crawl of the pages' sections (host and first path segment): a response and a revisit for each page.
 
-    Capture times follow the page ids. Every fifth revisit carries the tag of other content,
-    every seventh none of the validators.
+    Capture times are scattered over the crawl by the page id, so a section's revisits follow
+    responses of other pages, some long before, and some come before any. A section has three
+    versions of its content; URLs vary in scheme, tracking field, fragment and final slash.
     """
-    tag, at = F.md5(F.coalesce("html", F.lit(""))), F.col("page_id")
-    header = F.create_map(F.lit("etag"), tag, F.lit("date"), (at * 10).cast("string"), F.lit("content-type"), F.lit("text/html"))
-    full = pages.select((at * 2).alias("record_id"), "url", (at * 10).alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), tag.alias("digest"), header.alias("headers"))
-    seen = F.when(at % 7 == 0, F.lit(None)).otherwise(F.when(at % 5 == 0, F.lit("W/other")).otherwise(F.concat(F.lit("W/"), tag)))
-    update = F.create_map(F.lit("date"), (at * 10 + 5).cast("string"), F.lit("server"), F.lit("crawl"), F.lit("vary"), F.lit("accept"))
+    at = F.col("page_id")
+    section = F.regexp_extract("url", r"^(https?://[^/?#]+(?:/[^/?#]+)?)", 1)
+    ends = F.when(at % 3 == 0, "/").when(at % 3 == 1, "?utm_source=feed").otherwise("#top")
+    url = F.when(section != "", F.concat(section, ends))
+    version = lambda n: F.md5(F.concat_ws("|", section, n.cast("string")))
+    tag, other = version(at % 3), version(F.floor(at / 3) % 3)
     none = F.lit(None).cast("string")
-    revisit = pages.select((at * 2 + 1).alias("record_id"), "url", (at * 10 + 5).alias("ts"), F.lit("revisit").alias("kind"), seen.alias("etag"), none.alias("last_modified"), none.alias("digest"), update.alias("headers"))
+    full_at, seen_at = at * 7919 % 1_000_003, (at * 40_503 + 12_345) % 1_000_003
+    header = F.create_map(F.lit("ETag"), tag, F.lit("date"), full_at.cast("string"), F.lit("Content-Type"), F.lit("text/html"))
+    full = pages.select((at * 2).alias("record_id"), url.alias("url"), full_at.alias("ts"), F.lit("response").alias("kind"), tag.alias("etag"), F.when(at % 4 != 0, (at % 2).cast("string")).alias("last_modified"), tag.alias("digest"), header.alias("headers"))
+    update = F.create_map(F.lit("Date"), seen_at.cast("string"), F.lit("server"), F.lit("crawl"), F.lit("Vary"), F.lit("accept"))
+    revisit = pages.select(
+        (at * 2 + 1).alias("record_id"), url.alias("url"), seen_at.alias("ts"), F.lit("revisit").alias("kind"), F.when(at % 7 != 0, F.concat(F.lit("W/"), other)).alias("etag"),
+        F.when(at % 7 == 0, F.when(at % 2 == 0, F.lit("1"))).alias("last_modified"), F.when(at % 21 == 0, tag).otherwise(none).alias("digest"), update.alias("headers")
+    )
     return full.unionByName(revisit)
 
 
@@ -88,9 +98,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """Canonical URLs to block: some hosts, about one in sixteen of the pages' URLs, and as many that no page has."""
+    known = pages.select(canonical_url(F.col("url")).alias("url")).where("url is not null")
+    mark = F.substring(F.md5("url"), 1, 1)
+    listed = known.where(mark == "0").unionByName(known.where(mark == "1").select(F.concat("url", F.lit("/absent")).alias("url")))
+    return listed.unionByName(pages.sparkSession.createDataFrame([(h,) for h in LISTED_HOSTS], "url string"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame(LISTED_URLS, "url string")
-    return url_filter.judge_urls(read(spark, sf_dir, "pages"), listed, RULES)
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, listed_urls(pages), RULES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -122,30 +140,33 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 _REVISIT_SQL = r"""
-WITH c AS (
-  SELECT page_id, md5(coalesce(html, '')) AS tag,
-         regexp_extract(url, '^[^:]*://(?:[wW]{3}\.)?([^/?#]*)', 1) AS host,
-         regexp_extract(url, '^[^:]*://(?:[wW]{3}\.)?[^/?#]*([^?#]*)', 1) AS path,
-         regexp_extract(url, '^[^:]*://(?:[wW]{3}\.)?[^/?#]*[^?#]*(\?[^#]*)', 1) AS query, url
-  FROM pages
-), u AS (
-  SELECT page_id, tag, CASE WHEN contains(url, '://') THEN lower(host) || regexp_replace(path, '/$', '')
-         || regexp_replace(regexp_replace(query, '(^\?|&)(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', '?') ELSE url END AS cu
+WITH p AS (SELECT page_id AS i, nullif(regexp_extract(url, '^(https?://[^/?#]+(?:/[^/?#]+)?)', 1), '') AS section FROM pages),
+c AS (
+  SELECT i, section, lower(regexp_extract(section, '://(?:[wW]{3}\.)?([^/]+)', 1)) || regexp_extract(section, '://[^/]+(/.*)', 1) AS cu
+  FROM p
+),
+f AS (
+  SELECT cu, i * 2 AS id, i * 7919 % 1000003 AS ts, md5(section || '|' || i % 3) AS tag, CASE WHEN i % 4 <> 0 THEN (i % 2)::VARCHAR END AS modified FROM c
+),
+r AS (
+  SELECT cu, i * 2 + 1 AS id, (i * 40503 + 12345) % 1000003 AS ts, CASE WHEN i % 7 <> 0 THEN md5(section || '|' || (i // 3) % 3) END AS tag,
+         CASE WHEN i % 14 = 0 THEN '1' END AS modified, CASE WHEN i % 21 = 0 THEN md5(coalesce(section, '') || '|' || i % 3) END AS digest
   FROM c
-), m AS (
-  SELECT r.page_id, r.cu, r.tag, max(f.page_id) AS found
-  FROM u r LEFT JOIN u f ON f.cu = r.cu AND f.page_id <= r.page_id GROUP BY ALL
-), t AS (
-  SELECT m.*, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN 'other' ELSE m.tag END AS seen, f.tag AS old
-  FROM m LEFT JOIN (SELECT page_id AS fid, tag FROM u) f ON f.fid = m.found
-), s AS (
-  SELECT *, CASE WHEN found IS NULL THEN 'no_response' WHEN seen IS NULL THEN 'unverified'
-                 WHEN seen = old THEN 'resolved' ELSE 'mismatch' END AS status FROM t
+),
+m AS (
+  SELECT r.*, f.id AS found, f.tag AS f_tag, f.modified AS f_modified
+  FROM (SELECT *, ts::HUGEINT * 1000000000000 + id AS k FROM r) r
+  ASOF LEFT JOIN (SELECT *, ts::HUGEINT * 1000000000000 + id AS k FROM f WHERE cu IS NOT NULL) f ON r.cu = f.cu AND r.k > f.k
+),
+s AS (
+  SELECT *, CASE WHEN found IS NULL THEN 'no_response' WHEN tag IS NOT NULL THEN CASE WHEN tag = f_tag THEN 'resolved' ELSE 'mismatch' END
+                 WHEN modified IS NOT NULL AND f_modified IS NOT NULL THEN CASE WHEN modified = f_modified THEN 'resolved' ELSE 'mismatch' END
+                 WHEN digest IS NOT NULL THEN CASE WHEN digest = f_tag THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS status
+  FROM m
 )
-SELECT page_id * 2 + 1 AS record_id, cu AS canonical_url, found * 2 AS response_id, status,
-       CASE WHEN status IN ('resolved', 'unverified')
-            THEN 'content-type=text/html;date=' || (page_id * 10 + 5) || ';etag=' || old || ';vary=accept'
-            ELSE 'date=' || (page_id * 10 + 5) || ';server=crawl;vary=accept' END AS headers
+SELECT id AS record_id, cu AS canonical_url, found AS response_id, status,
+       CASE WHEN status IN ('resolved', 'unverified') THEN 'content-type=text/html;date=' || ts || ';etag=' || f_tag || ';vary=accept'
+            ELSE 'date=' || ts || ';server=crawl;vary=accept' END AS headers
 FROM s
 """
 
@@ -170,23 +191,34 @@ FROM dw LEFT JOIN n USING (k) LEFT JOIN items USING (k)
 """
 
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
-_LISTED_ROWS = ", ".join(f"('{u}')" for (u,) in LISTED_URLS)
-_URL_SQL = f"""
-WITH r(verdict, h, p) AS (VALUES {_RULE_ROWS}), listed(u) AS (VALUES {_LISTED_ROWS}),
+_LISTED_ROWS = ", ".join(f"('{h}')" for h in LISTED_HOSTS)
+_URL_SQL = rf"""
+WITH r(verdict, h, p) AS (VALUES {_RULE_ROWS}),
 g AS (
-  SELECT row_number() OVER () AS k, page_id,
+  SELECT row_number() OVER () AS k, page_id, url,
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '') AS query
   FROM pages
 ),
+n AS (
+  SELECT *, regexp_replace(regexp_replace(host, '^www\.', ''), CASE WHEN url ILIKE 'http://%' THEN ':80$' WHEN url ILIKE 'https://%' THEN ':443$' ELSE '^$' END, '') AS root FROM g
+),
+c AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN root || regexp_replace(path, '/$', '')
+                 || regexp_replace(regexp_replace(query, '(^\?|&)(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', '?') ELSE url END AS cu FROM n
+),
+listed(u) AS (
+  SELECT * FROM (VALUES {_LISTED_ROWS}) UNION SELECT cu FROM c WHERE starts_with(md5(cu), '0') UNION SELECT cu || '/absent' FROM c WHERE starts_with(md5(cu), '1')
+),
 best AS (
   SELECT k, r.verdict, r.h || r.p AS rule,
          row_number() OVER (PARTITION BY k ORDER BY length(r.h || r.p) DESC, length(r.h) DESC, r.verdict DESC) AS n
   FROM g JOIN r ON (g.host = r.h OR ends_with(g.host, '.' || r.h)) AND starts_with(g.path, r.p)
 )
 SELECT page_id, host, path, rule,
-       coalesce(best.verdict, CASE WHEN host IN (SELECT u FROM listed) OR host || regexp_replace(path, '/$', '') IN (SELECT u FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
-FROM g LEFT JOIN best ON best.k = g.k AND n = 1
+       coalesce(best.verdict, CASE WHEN root IN (SELECT u FROM listed) OR cu IN (SELECT u FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN best ON best.k = c.k AND n = 1
 """
 
 _JOIN_SQL = f"""

@@ -9,9 +9,10 @@ its false positives.
 Filter: block ``pmod(hash, blocks)`` holds four 64-bit words, each with one bit set per
 listed URL. The number of blocks follows the list up to ``max_blocks``; that bounds what
 is broadcast (48 bytes a block). A longer list only makes the filter less sharp, as the
-join is exact.
+join is exact. Its rows are salted, so one URL or host with a third of all rows is spread
+over ``SALTS`` tasks; the listed URLs go to each of them.
 
-Canonical: lower-cased host, then path without its final ``/``.
+Canonical: ``urls.canonical_url``, the form of operator 2.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule, and
 is allowed; repeated rows give repeated rows; an empty list allows; other columns are
@@ -25,24 +26,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomvec.llm.urls import canonical_host, canonical_url, host_of, path_of
+
+SALTS = 8
 MAX_BLOCKS = 1 << 15
 URLS_PER_BLOCK = 16
 MAX_RULES = 10_000
 
 
-def host_of(url: Column) -> Column:
-    rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(F.coalesce(rest, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
-
-
-def canonical(host: Column, path: Column) -> Column:
-    return F.concat(host, F.regexp_replace(path, "/$", ""))
-
-
 def _words(key: Column) -> list[Column]:
     """The four 64-bit words, one bit each, of a URL in its block."""
     return [F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(key, F.lit(k)), F.lit(64)).cast("int")) for k in range(1, 5)]
@@ -87,9 +78,9 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     n_blocks = int(min(max_blocks, max(1, listed.count() // URLS_PER_BLOCK + 1)))
     blocks = F.broadcast(bloom_blocks(listed, n_blocks))  # at most max_blocks rows of 40 bytes
     url = F.col(f"`{url_col}`").cast("string")
-    judged = pages.select(F.col(f"`{id_col}`").alias("__id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    judged = pages.select(F.col(f"`{id_col}`").alias("__id"), url.alias("__url"), host_of(url).alias("host"), path_of(url).alias("path"))
     judged = judged.withColumn("__rule", _rule(F.col("host"), F.col("path"), rules))
-    probe = judged.withColumns({"__page": canonical(F.col("host"), F.col("path")), "__root": F.col("host")})
+    probe = judged.withColumns({"__page": F.coalesce(canonical_url(F.col("__url")), F.lit("")), "__root": F.coalesce(canonical_host(F.col("__url")), F.lit(""))}).drop("__url")
     for name in ("page", "root"):
         key, table = F.col(f"__{name}"), blocks.select(F.col("block").alias(f"__{name}_block"), *[F.col(f"w{k}").alias(f"__{name}{k}") for k in range(1, 5)])
         probe = probe.join(table, F.pmod(F.xxhash64(key), F.lit(n_blocks)) == F.col(f"__{name}_block"), "left")
@@ -100,8 +91,10 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, s
     out = [F.col("__id").alias(id_col), "host", "path", F.col("__rule.rule").alias("rule")]
     clear = probe.where("not (__page_maybe or __root_maybe)").select(*out, F.coalesce("__rule.verdict", F.lit("allow")).alias("verdict"))
     maybe = probe.where("__page_maybe or __root_maybe")
-    on_page = listed.select(F.col("listed_url").alias("__page"), F.lit(True).alias("__page_hit"))
-    on_root = listed.select(F.col("listed_url").alias("__root"), F.lit(True).alias("__root_hit"))
-    sure = maybe.join(on_page, "__page", "left").join(on_root, "__root", "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    on_page = listed.select(F.col("listed_url").alias("__page"), F.lit(True).alias("__page_hit"), salts)
+    on_root = listed.where(~F.contains("listed_url", F.lit("/"))).select(F.col("listed_url").alias("__root"), F.lit(True).alias("__root_hit"), salts)
+    maybe = maybe.withColumn("__salt", F.pmod(F.xxhash64("__id", "path"), F.lit(SALTS)).cast("int"))
+    sure = maybe.join(on_page, ["__page", "__salt"], "left").join(on_root, ["__root", "__salt"], "left")
     sure = sure.select(*out, F.when(F.coalesce("__page_hit", "__root_hit", F.lit(False)), "block").otherwise("allow").alias("verdict"))
     return clear.unionByName(sure)

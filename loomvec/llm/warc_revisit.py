@@ -7,14 +7,17 @@ resolved if its validators agree with that response: the entity tag if both have
 compare it stays ``unverified``. Header fields that a not-modified answer may update are
 then merged over the stored response's fields.
 
-The as-of join splits time into ``SLICES`` equal slices. Inside one (URL, slice) a window
-carries the last response forward; across slices only each slice's last response travels
-(one row per URL and slice). So a URL that holds a third of all records is spread over the
-slices, and no payload is shuffled: rows carry ids, validators and headers.
+The as-of join splits time into about ``slices`` slices at quantiles of all records' times.
+A time that spans several quantiles is a slice of its own, split at quantiles of the record
+ids if those are numbers. Inside one (URL, slice) a window carries the last response
+forward; across slices only each slice's last response travels (one row per URL and slice).
+So a URL that holds a third of all records is spread over a third of the slices, whenever
+its records were taken, and no payload is shuffled: rows carry ids, validators and headers.
 
 Defined results: a record without a URL, time or id matches nothing (``no_response``);
-several records with one id and time are ordered by all their values; null headers are
-empty; an empty table gives no rows; columns other than those named are ignored.
+several records with one id and time are ordered by all their values; header names are
+lower-cased, and of names that differ in case only the last in byte order counts; null
+headers are empty; an empty table gives no rows; columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -23,44 +26,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SLICES = 256
+from loomvec.llm.urls import canonical_url
+
+SLICES = 64
 
 # Header fields that a 304 answer carries and that update the stored response.
 PERMITTED_HEADERS = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 
 
-def canonical_url(url: Column) -> Column:
-    """Scheme and ``www.`` dropped, host lower-cased, fragment, tracking query and final slash dropped."""
-    parts = r"(?s)^[^:]*://(?:[wW]{3}\.)?([^/?#]*)([^?#]*)(\?[^#]*)?"
-    host, path, query = (F.regexp_extract(url, parts, k) for k in (1, 2, 3))
-    query = F.regexp_replace(F.regexp_replace(query, r"(^\?|&)(utm_[a-z]+|ref)=[^&]*", ""), "^&", "?")
-    return F.when(F.contains(url, F.lit("://")), F.concat(F.lower(host), F.regexp_replace(path, "/$", ""), query)).otherwise(url)
-
-
 def _opaque(tag: Column) -> Column:
     """An entity tag without its weakness mark."""
     return F.regexp_replace(tag, "^W/", "")
 
 
+def _entries(headers: Column) -> Column:
+    """Sorted (name, value) entries with lower-case names; a map does not sort, its entries do."""
+    known = F.coalesce(headers, F.create_map().cast("map<string,string>"))
+    named = F.array_sort(F.transform(F.map_entries(known), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["key"].alias("own"), e["value"].alias("value"))))
+    last = F.filter(named, lambda e, i: ~F.coalesce(F.get(named, i + 1)["key"] == e["key"], F.lit(False)))
+    return F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+
+def _cuts(rows: DataFrame, column: str, slices: int) -> list:
+    found = rows.agg(F.percentile_approx(column, [k / slices for k in range(1, slices)], 100 * slices).alias("cuts")).first().cuts
+    return found or []
+
+
+def _slice(rows: DataFrame, slices: int) -> Column:
+    """A slice number that never falls as (time, id) rises."""
+    below = lambda col, cuts: F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c < col))
+    cuts = _cuts(rows, "ts", slices) if slices > 1 else []
+    often = sorted({c for c in cuts if cuts.count(c) > 1})
+    number = 2 * below(F.col("ts"), cuts)
+    if not often:
+        return number.cast("long")
+    ids = dict(rows.dtypes)["record_id"] in ("tinyint", "smallint", "int", "bigint")
+    inside = below(F.col("record_id"), _cuts(rows, "record_id", slices)) if ids else F.lit(0)
+    at = F.col("ts").isin(*often)  # such a time comes after the smaller ones of its slice
+    return (number + F.when(at, 1).otherwise(0)).cast("long") * slices + F.when(at, inside).otherwise(0)
+
+
 def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """Resolve revisits.
 
     ``records``: record_id, url, ts (long), kind (response | revisit), etag, last_modified,
-    digest, headers (map of lower-case names). Result, one row per revisit: record_id,
+    digest, headers (map). Result, one row per revisit: record_id,
     canonical_url, response_id (null if none), status (resolved | mismatch | unverified |
     no_response) and headers (merged if resolved or unverified, else the revisit's own).
     """
     need = ["record_id", "ts", "kind", "etag", "last_modified", "digest", "headers"]
     rows = records.select(*need, canonical_url(F.col("url")).alias("url"))
-    # a map does not sort, its sorted entries do
-    entries = F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))))
-    rows = rows.withColumn("headers", entries)
+    rows = rows.withColumns({"headers": _entries(F.col("headers")), "ts": F.col("ts").cast("long")})
     whole = F.col("url").isNotNull() & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
     alone = rows.where(~whole & (F.col("kind") == "revisit"))
     rows = rows.where(whole & F.col("kind").isin("response", "revisit"))
-    span = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    low, width = span.low or 0, max(1, ((span.high or 0) - (span.low or 0)) // slices + 1)
-    rows = rows.withColumn("slice", F.floor((F.col("ts") - low) / width))
+    rows = rows.withColumn("slice", _slice(rows, slices))
     order = [F.col(c) for c in ("ts", "record_id", "kind", "etag", "last_modified", "digest", "headers")]
     response = F.when(F.col("kind") == "response", F.struct(*[F.col(c) for c in ("ts", "record_id", "etag", "last_modified", "digest", "headers")]))
     here = W.partitionBy("url", "slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
