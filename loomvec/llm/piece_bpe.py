@@ -2,11 +2,17 @@
 
 A batch's texts are cut where no piece can cross (before a run of spaces that follows
 other text), distinct words are kept once, and their symbols lie in one flat array. Each
-round finds the minimum pair rank of every word (segmented minimum), merges the leftmost
-such pair of all words at once and compacts the array, until no pair remains. Merging one
-pair per word and round keeps the library's order (best score, then leftmost) exactly.
-Words over ``LONG`` symbols take the same order from a heap, so a text without spaces
-costs n log n.
+round finds the minimum pair rank of every word (segmented minimum), merges that pair's
+occurrences in the word that do not overlap, the leftmost first, and compacts the array,
+until no pair remains.
+
+That keeps the library's order (best score, then leftmost) exactly where no pair that a
+merge makes comes before the merge itself. Other pieces (``hasty``, found when the model is
+loaded) may at once join a neighbour, but what grows out of one merge is one piece, so
+occurrences that lie over twice the longest piece apart cannot meet: of a hasty piece's
+occurrences that lie closer, a round merges the leftmost. A word that still has pairs after
+``ROUNDS`` rounds (thousands of close hasty occurrences, as in one endless run of spaces)
+takes the rest in the same order from a heap.
 
 Defined results: null and empty text give no ids and an empty decoded text; repeated rows
 give repeated results; columns other than id and text are ignored.
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 
 from loomvec.llm import textscan as ts
 
-LONG = 192
+ROUNDS = 2048
 NEVER = np.int32(2**31 - 1)
 MARK = "▁"
 _MARK_BYTES = MARK.encode()
@@ -75,6 +81,13 @@ class PieceModel:
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()], np.int32)
+        # pieces that once made may join a neighbour at no later a rank than their own
+        own = dict(zip(plain, rank_of.tolist(), strict=True))
+        self.apart = 2 * max(len(text[i]) for i in plain)
+        self.hasty = np.zeros(self.width, bool)
+        for key, (rank, _) in pairs.items():
+            for side in divmod(key, self.width):
+                self.hasty[side] |= rank <= own.get(side, -1)
         # an open-addressed copy of the pair table: one gather for most pairs
         self.bits = 20
         while (1 << self.bits) < 6 * len(self.keys):
@@ -131,26 +144,25 @@ class PieceModel:
     def merge_rounds(self, symbols: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of each word and their offsets."""
         lens = np.diff(off)
-        word = np.arange(len(lens))
+        word = np.flatnonzero(lens)
+        lens = lens[word]
         done_symbols: list[np.ndarray] = []
         done_words: list[np.ndarray] = []
-        long = lens > LONG
-        if long.any():
-            for w in np.flatnonzero(long):
-                out = self.merge_heap(symbols[off[w] : off[w + 1]].tolist())
-                done_symbols.append(np.array(out, np.int32))
-                done_words.append(np.full(len(out), w))
-            keep = np.repeat(~long, lens)
-            symbols, word, lens = symbols[keep], word[~long], lens[~long]
-        word, lens = word[lens > 0], lens[lens > 0]
         rank = np.full(len(symbols), NEVER, np.int32)
         made = np.zeros(len(symbols), np.int32)
         if len(symbols) > 1:
             rank[:-1], made[:-1] = self.pair(symbols[:-1], symbols[1:])
         if len(lens):
             rank[np.cumsum(lens) - 1] = NEVER
+        rounds = 0
         while len(word):
+            rounds += 1
             start = np.cumsum(lens) - lens
+            if rounds > ROUNDS:
+                for w, a, n in zip(word.tolist(), start.tolist(), lens.tolist(), strict=True):
+                    done_symbols.append(np.array(self.merge_heap(symbols[a : a + n].tolist()), np.int32))
+                    done_words.append(np.full(len(done_symbols[-1]), w))
+                break
             least = np.minimum.reduceat(rank, start)
             live = least < NEVER
             if not live.all():
@@ -167,24 +179,24 @@ class PieceModel:
             hits = np.flatnonzero(rank == least[of])
             owner = of[hits]
             lead = np.ones(len(hits), bool)
-            lead[1:] = owner[1:] != owner[:-1]
-            at = hits[lead]  # the leftmost minimum of each word
+            lead[1:] = hits[1:] != hits[:-1] + 1
+            run = np.flatnonzero(lead)
+            pick = (np.arange(len(hits)) - np.repeat(run, np.diff(np.append(run, len(hits))))) % 2 == 0  # of occurrences that overlap every other one
+            lead[1:] = (owner[1:] != owner[:-1]) | (hits[1:] - hits[:-1] >= self.apart)
+            pick &= lead | ~self.hasty[made[hits]]
+            at, owner = hits[pick], owner[pick]
             symbols[at] = made[at]
             stays = np.ones(len(symbols), bool)
             stays[at + 1] = False
-            rank[at + 1] = rank[at + 1]
             symbols, rank, made = symbols[stays], rank[stays], made[stays]
-            lens = lens - 1
+            lens = lens - np.bincount(owner, minlength=len(lens))
             start = np.cumsum(lens) - lens
-            at = at - np.arange(len(at))  # one symbol fewer per earlier word
-            last = start + lens - 1
-            right = at[at < last]
+            at = at - np.arange(len(at))  # one symbol fewer per earlier merge
+            last = (start + lens - 1)[owner]
             rank[at[at == last]] = NEVER
-            if len(right):
-                rank[right], made[right] = self.pair(symbols[right], symbols[right + 1])
-            left = at[at > start] - 1
-            if len(left):
-                rank[left], made[left] = self.pair(symbols[left], symbols[left + 1])
+            new = np.concatenate([at[at < last], at[at > start[owner]] - 1])
+            if len(new):
+                rank[new], made[new] = self.pair(symbols[new], symbols[new + 1])
         if not done_words:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
         flat, owners = np.concatenate(done_symbols), np.concatenate(done_words)
@@ -193,7 +205,7 @@ class PieceModel:
         return flat[order], np.concatenate([[0], np.cumsum(counts)])
 
     def merge_heap(self, symbols: list[int]) -> list[int]:
-        """The same merges for one long word."""
+        """The same merges for the symbols of one word, one after the other."""
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank, made = self.pair(np.array(symbols[:-1], np.int64), np.array(symbols[1:], np.int64))
