@@ -8,15 +8,19 @@ the smaller name.
 
 The automata run as transition tables over numpy lanes: every (segment, language) pair is
 a lane and all lanes step one character at a time; a missing transition ends a phrase.
-Texts are parsed whole, in segments of ``SEGMENT`` characters that each start a phrase, so
-a very long text is as parallel as many short ones.
+Texts are parsed whole. A long one is cut into segments of ``SEGMENT`` characters that are
+parsed side by side; then the parse of each segment runs on into the next one until both
+begin a phrase at the same character, from where they agree. So the phrases are those of
+one parse from the text's beginning (a text whose segments never agree gets just that).
 
 Characters: lower-cased; every run of non-letters is one blank; letters outside the
 sample's alphabet end a phrase in every language alike.
 
-The sample, the only bounded input, is ``SAMPLE_CHARS`` characters per language from whole
-texts in the order of a hash of id and text; a language needs one labelled row with
-letters.
+The sample, the only bounded input, is whole texts in the order of a hash of id and text:
+at most ``SAMPLE_ROWS`` rows and ``SAMPLE_CHARS`` characters per language (with many
+languages, ``ALL_CHARS`` divided by their number). A text that exceeds what is left is passed
+over; a language all of whose texts do takes its shortest one. Every language with one
+labelled row with letters is learned.
 
 Defined results: null text and text without letters give ``und`` and score 0, as does
 every text when nothing was learned; a null id is not held out (it has no remainder); repeated
@@ -39,8 +43,9 @@ from loomvec.llm import textscan as ts
 
 SAMPLE_CHARS = 24_000
 SAMPLE_ROWS = 400
-MAX_LANGUAGES = 1000
+ALL_CHARS = 240_000
 SEGMENT = 1024
+LANES = 32  # languages that are parsed at once
 BLANK = 0
 
 
@@ -130,30 +135,67 @@ class CrossParser:
 
     def phrases(self, chars: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Number of phrases of each text (row) in each language (column)."""
-        n_langs, lens = len(self.names), np.diff(off)
+        coded = self.class_of[chars]
+        parts = [self._phrases(coded, off, slice(j, j + LANES)) for j in range(0, len(self.names), LANES)]
+        return np.concatenate([np.zeros((len(off) - 1, 0)), *parts], axis=1)
+
+    def _phrases(self, coded: np.ndarray, off: np.ndarray, langs: slice) -> np.ndarray:
+        root, again = np.array(self.root[langs], np.int32), self.again[langs]
+        lens = np.diff(off)
         n_seg = -(-lens // SEGMENT)
         owner = np.repeat(np.arange(len(lens)), n_seg)
-        begin = off[:-1][owner] + SEGMENT * (np.arange(len(owner)) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg))
-        size = np.minimum(SEGMENT, off[1:][owner] - begin)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)
+        begin = off[:-1][owner] + SEGMENT * within
+        stop, state = self._parse(coded, begin, np.minimum(SEGMENT, off[1:][owner] - begin), root, again)
+        reach = np.zeros((len(root), len(coded) + 1), np.int32)
+        np.cumsum(stop, axis=1, out=reach[:, 1:])
+        count = (reach[:, off[1:]] - reach[:, off[:-1]] + (lens > 0)).T.astype(float)
+        # the parse before each border runs on until it stops where the parse after the border stops
+        border = np.flatnonzero(within > 0)
+        lane, lang = (x.ravel() for x in np.meshgrid(border, np.arange(len(root))))
+        now, at = state[lang, lane - 1], begin[lane]
+        end = np.minimum(at + SEGMENT, off[1:][owner[lane]])
+        alone = np.zeros((len(lens), len(root)), bool)
+        for _ in range(SEGMENT):
+            if not len(lane):
+                break
+            c = coded[at]
+            new = self.table[now * self.classes + c]
+            ends = new < 0
+            np.add.at(count, (owner[lane], lang), ends.astype(float) - stop[lang, at])
+            met = ends & stop[lang, at]
+            now, at = np.where(ends, again[lang, c], new), at + 1
+            over = ~met & (at == end)
+            lost = over & (end < off[1:][owner[lane]])
+            alone[owner[lane[lost]], lang[lost]] = True
+            live = ~(met | over)
+            lane, lang, now, at, end = lane[live], lang[live], now[live], at[live], end[live]
+        for j in np.flatnonzero(alone.any(axis=0)).tolist():  # segments that never agree
+            texts = np.flatnonzero(alone[:, j])
+            stop, _ = self._parse(coded, off[texts], lens[texts], root[j : j + 1], again[j : j + 1])
+            sums = np.concatenate([[0], np.cumsum(stop[0])])
+            count[texts, j] = 1 + sums[off[texts + 1]] - sums[off[texts]]
+        return count
+
+    def _parse(self, coded: np.ndarray, begin: np.ndarray, size: np.ndarray, root: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases end in spans that each start a phrase, (language, character), and the states that are left, (language, span)."""
         order = np.argsort(-size, kind="stable")
-        owner, begin, size = owner[order], begin[order], size[order]
-        live = np.searchsorted(-size, -np.arange(SEGMENT), "left")  # segments longer than t
-        coded = self.class_of[chars]
-        state = np.tile(np.array(self.root, np.int32)[:, None], (1, len(owner)))
-        count = np.zeros((n_langs, len(owner)), np.int32)
-        for t in range(int(size.max(initial=0))):
+        begin, size = begin[order], size[order]
+        most = int(size.max(initial=0))
+        live = np.searchsorted(-size, -np.arange(most), "left")  # spans longer than t
+        state = np.tile(root[:, None], (1, len(begin)))
+        stops = np.zeros((len(root), len(coded)), bool)
+        for t in range(most):
             k = live[t]
-            c = coded[begin[:k] + t]
-            now = state[:, :k]
-            new = self.table[now * self.classes + c]
+            where = begin[:k] + t
+            c = coded[where]
+            new = self.table[state[:, :k] * self.classes + c]
             stop = new < 0
-            count[:, :k] += stop
-            state[:, :k] = np.where(stop, self.again[:, c], new)
-        count += 1  # the phrase that the segment's end closes
-        out = np.zeros((len(lens), n_langs))
-        for j in range(n_langs):
-            out[:, j] = np.bincount(owner, weights=count[j], minlength=len(lens))
-        return out
+            stops[:, where] = stop
+            state[:, :k] = np.where(stop, again[:, c], new)
+        out = np.empty_like(state)
+        out[:, order] = state
+        return stops, out
 
     def predict(self, raw: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
         chars, at = folded(raw, off)
@@ -180,33 +222,36 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """(language, sample text), sorted by name, from rows with a language and letters.
 
     A hash of (id, text) orders the rows. Each language's share of rows that is looked at
-    follows its count, so that about ``sample_rows`` come to the sort.
+    follows its count, so that about ``sample_rows`` come to the sort; of a language with few
+    rows all do. The driver gets the languages' counts and the sample.
     """
-    rows = labelled.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("lang"))
+    spark = labelled.sparkSession
+    rows = labelled.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = labelled.where(F.col(f"`{lang_col}`").isNotNull()).groupBy(F.col(f"`{lang_col}`").alias("lang")).count()
-    sizes = {r.lang: r["count"] for r in counts.limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return ()
+    sample_chars = max(1, min(sample_chars, ALL_CHARS // len(sizes)))
     # twice the rows that are wanted, so that chance does not leave a language short
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 2.0 * sample_rows / n))])
-    near = rows.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
-    top = near.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))).where(F.col("at") <= sample_rows)
-    # a row adds at most what a language may hold
+    share = spark.createDataFrame([(r.lang, min(1.0, 2.0 * sample_rows / r["count"])) for r in sizes], "lang string, share double")
+    near = rows.join(F.broadcast(share), "lang").where((F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)) | (F.col("share") >= 1))
+    near = near.groupBy("lang", "h").agg(F.min("t").alias("t"))  # repeated rows teach once
+    fits = F.length("t") <= sample_chars
+    order = W.partitionBy("lang").orderBy(F.desc(fits), F.when(~fits, F.length("t")), "h", "t")
+    top = near.withColumn("at", F.row_number().over(order)).where((F.col("at") <= sample_rows) & (fits | (F.col("at") == 1)))
     got: dict[str, list[str]] = {}
-    for r in top.select("lang", "at", F.substring("t", 1, sample_chars).alias("t")).orderBy("lang", "at").toLocalIterator():
-        mine = got.setdefault(r.lang, [])
-        if (room := sample_chars - sum(map(len, mine))) > 0:
-            mine.append(r.t[:room])
+    room: dict[str, int] = {}
+    for r in top.orderBy("lang", "at").toLocalIterator():
+        if r.lang not in got or len(r.t) <= room[r.lang]:
+            got.setdefault(r.lang, []).append(r.t)
+            room[r.lang] = room.get(r.lang, sample_chars) - len(r.t)
     return tuple((k, "\n".join(v)) for k, v in sorted(got.items()))
 
 
 def _predicted(samples: tuple[tuple[str, str], ...], carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = parser(samples)
-        for batch in ts.gathered(batches, "t", 4_000_000):
+        for batch in ts.gathered(batches, "t", 2 * ts.BATCH_BYTES):
             names, score = model.predict(*ts.text_bytes(batch.column("t")))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(names, pa.string()), pa.array(score, pa.float64())], [*carry, "lang_pred", "score"])
 
