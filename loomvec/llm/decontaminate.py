@@ -6,9 +6,14 @@ skip because the block of words under it ends no window sooner. Where the shift
 the bucket of the block's suffix hash lists the windows to compare, first by all word
 hashes, then by the words' bytes. Cursors of all texts of a batch step together.
 
-The benchmark travels to the tasks in blocks of at most ``block_bytes`` of item text (a
-checked bound). One block needs no shuffle; with more blocks, the hit spans of each are
-merged per document row.
+Spark cuts the items into windows. While their text and item ids take at most
+``block_bytes`` (counted before anything is collected) they travel to the tasks as one block. A larger
+benchmark is written once to the shared folder as a table of blocks of about that size, dealt
+by a hash of window and item, so neither a long item nor a window of many items makes a
+block larger. A task holds ``HELD_BYTES`` of texts, reads block after block past them and
+merges the hit spans and items of each. Either way the documents are scanned once, in one
+stage without a shuffle, whatever the number of blocks. Workers open the folder with
+pyarrow's file systems.
 
 Defined results: null has no words; a text without words has n_hit 0 and is clean; items
 without an id or without words take no part; repeated items count once by id; repeated
@@ -27,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomvec.llm import textscan as ts
-from loomvec.llm.common import written
+from loomvec.llm.common import new_table_path, write
 
 WINDOW = 13
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 16_000_000
+HELD_BYTES = 16_000_000
 SLOT_BITS = 20
 _ROLL = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -90,41 +96,72 @@ class Windows:
         return first[sure], window[sure]
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, window) of (item, text) rows."""
+    for batch in ts.pieces(batches, "t"):
+        names, texts = [], []
+        for name, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            words = text.encode().translate(ts.WORD_MAP).split()
+            m = min(WINDOW, len(words))
+            for i in range(len(words) - m + 1 if m else 0):
+                names.append(name)
+                texts.append(b" ".join(words[i : i + m]))
+                if len(texts) == 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["i", "w"])
+                    names, texts = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["i", "w"])
+
+
+Pairs = tuple[tuple[str, bytes], ...]  # (item, window)
+
+
 @lru_cache(maxsize=1)
-def matchers(items: tuple[tuple[str, str], ...]) -> list[Windows]:
-    """Windows of (id, text) items by length; built once per Python worker."""
-    found: dict[int, dict[bytes, set[str]]] = {}
-    for name, text in items:
-        raw = text.encode()
-        words = raw.translate(ts.WORD_MAP).split()
-        m = min(WINDOW, len(words))
-        for i in range(len(words) - m + 1 if m else 0):
-            found.setdefault(m, {}).setdefault(b" ".join(words[i : i + m]), set()).add(name)
-    return [Windows(list(w), [sorted(x) for x in w.values()]) for _, w in sorted(found.items())]
-
-
-def search(items: tuple[tuple[str, str], ...], words: ts.Words) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-    """(first word, word after) of every occurrence in a batch, and the items found in each text."""
-    n_docs = len(words.first) - 1
-    found: list[set[str]] = [set() for _ in range(n_docs)]
-    firsts, lasts = [], []
-    for w in matchers(items):
+def matchers(pairs: Pairs) -> list[Windows]:
+    """Tables of a block's windows by length; those of the last block stay in the worker."""
+    found: dict[int, dict[bytes, list[str]]] = {}
+    for name, window in pairs:
+        found.setdefault(window.count(b" ") + 1, {}).setdefault(window, []).append(name)
+    return [Windows(list(w), list(w.values())) for _, w in sorted(found.items())]
+
+
+class Blocks:
+    """The benchmark's windows: in memory, or as a table in the shared folder with a folder for each block."""
+
+    def __init__(self, pairs: Pairs | None = None, path: str = "", n: int = 1) -> None:
+        self.pairs, self.path, self.n = pairs, path, n
+
+    def __iter__(self) -> Iterator[list[Windows]]:
+        if self.pairs is not None:
+            yield matchers(self.pairs)
+            return
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(self.path)
+        there = {info.base_name for info in system.get_file_info(fs.FileSelector(root))}
+        for b in range(self.n):
+            if f"b={b}" in there:  # a hash may leave a block empty
+                table = ds.dataset(f"{root}/b={b}", filesystem=system, format="parquet").to_table(columns=["i", "w"])
+                yield matchers(tuple(zip(table.column("i").to_pylist(), table.column("w").to_pylist(), strict=True)))
+
+
+def search(windows: list[Windows], words: ts.Words, found: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, word after) of every occurrence in a batch; adds the items found in each text."""
+    firsts, lasts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in windows:
         at, window = w.find(words)
         firsts.append(at)
         lasts.append(at + w.m)
         doc = np.searchsorted(words.first, at, "right") - 1
         for d, k in set(zip(doc.tolist(), window.tolist(), strict=True)):
             found[d].update(w.owners[k])
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(firsts or none), np.concatenate(lasts or none), found
+    return np.concatenate(firsts), np.concatenate(lasts)
 
 
-def covered(n: int, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
-    """Which of n words lie in a span."""
-    step = np.zeros(n + 1, np.int64)
+def _spanned(step: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> None:
+    """Count each span where it begins and where it has ended."""
     np.add.at(step, firsts, 1)
     np.add.at(step, lasts, -1)
-    return np.cumsum(step[:-1]) > 0
 
 
 _RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -140,62 +177,40 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
 
 
-def _one_block(items: tuple[tuple[str, str], ...], carry: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
-            words = ts.Words(*ts.text_bytes(batch.column("t")))
-            firsts, lasts, found = search(items, words)
-            hit = np.concatenate([[0], np.cumsum(covered(len(words.hashes), firsts, lasts))])
-            n_hit = (hit[words.first[1:]] - hit[words.first[:-1]]).tolist()
-            rows = [_verdict(n, h, f) for n, h, f in zip(np.diff(words.first).tolist(), n_hit, found, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + _columns(rows), [*carry, *(x.split()[0] for x in _RESULT.split(", "))])
-
-    return run
-
-
-def _some_blocks(items: tuple[tuple[str, str], ...]):
-    """Adds one block's spans (pairs of word numbers) and items to what earlier blocks left in the row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
-            words = ts.Words(*ts.text_bytes(batch.column("t")))
-            firsts, lasts, found = search(items, words)
-            doc = np.searchsorted(words.first, firsts, "right") - 1
-            spans: list[list[int]] = batch.column("spans").to_pylist()
-            names: list[list[str]] = batch.column("names").to_pylist()
-            for d, a, b in zip(doc.tolist(), (firsts - words.first[doc]).tolist(), (lasts - words.first[doc]).tolist(), strict=True):
-                spans[d] += [a, b]
-            for d, f in enumerate(found):
-                names[d] = sorted({*names[d], *f})
-            yield pa.RecordBatch.from_arrays(
-                [c if n not in ("spans", "names") else pa.array(spans if n == "spans" else names, c.type) for n, c in zip(batch.schema.names, batch.columns, strict=True)], batch.schema.names
-            )
-
-    return run
-
-
-def _judged(carry: list[str]):
+def _judged(blocks: Blocks, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ts.gathered(batches, "t", ts.BATCH_BYTES):
-            words = ts.Words(*ts.text_bytes(batch.column("t")))
-            rows = []
-            for n, spans, names in zip(np.diff(words.first).tolist(), batch.column("spans").to_pylist(), batch.column("names").to_pylist(), strict=True):
-                both = np.array(spans, np.int64)
-                rows.append(_verdict(n, int(covered(n, both[0::2], both[1::2]).sum()), set(names)))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in carry] + _columns(rows), [*carry, *(x.split()[0] for x in _RESULT.split(", "))])
+        held_bytes = ts.BATCH_BYTES if blocks.n == 1 else HELD_BYTES
+        for held in ts.gathered(batches, "t", held_bytes):
+            parts = list(ts.pieces(iter([held]), "t", ts.BATCH_BYTES))
+            texts = [ts.Words(*ts.text_bytes(x.column("t"))) for x in parts]
+            steps = [np.zeros(len(words.hashes) + 1, np.int32) for words in texts]
+            found: list[list[set[str]]] = [[set() for _ in range(x.num_rows)] for x in parts]
+            for windows in blocks:
+                for words, step, items in zip(texts, steps, found, strict=True):
+                    _spanned(step, *search(windows, words, items))
+            for x, words, step, items in zip(parts, texts, steps, found, strict=True):
+                first = words.first
+                hit = np.concatenate([[0], np.cumsum(np.cumsum(step[:-1]) > 0)])
+                n_hit = (hit[first[1:]] - hit[first[:-1]]).tolist()
+                rows = [_verdict(n, h, f) for n, h, f in zip(np.diff(first).tolist(), n_hit, items, strict=True)]
+                yield pa.RecordBatch.from_arrays([x.column(c) for c in carry] + _columns(rows), [*carry, *(c.split()[0] for c in _RESULT.split(", "))])
 
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[tuple[tuple[str, str], ...]]:
-    """The items in blocks of about ``block_bytes`` of text at most; a hash deals items to blocks."""
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Blocks:
+    """The distinct (item, window) pairs of a benchmark."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("i is not null and t is not null")
-    total, longest = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)), F.coalesce(F.max(F.octet_length("t")), F.lit(0))).first()
-    n = 1 if total <= block_bytes else 2 * (total // block_bytes) + 1
-    dealt = items.select("i", "t", F.pmod(F.xxhash64("i", "t"), F.lit(n)).alias("b")).distinct()
-    if n > 1:
-        dealt = written(dealt, "benchmark")
-    return [tuple(sorted((r.i, r.t) for r in dealt.where(F.col("b") == b).collect())) for b in range(n)]
+    pairs = items.mapInArrow(_windows, "i string, w binary").distinct()
+    size = pairs.agg(F.coalesce(F.sum(F.octet_length("w") + F.octet_length("i")), F.lit(0))).first()[0]
+    if size <= block_bytes:
+        return Blocks(tuple(sorted((r.i, bytes(r.w)) for r in pairs.collect())))
+    n = size // block_bytes + 1
+    path = new_table_path(benchmark.sparkSession, "benchmark")
+    # one file for each block: a block's rows come from one task
+    dealt = pairs.withColumn("b", F.pmod(F.xxhash64("i", "w"), F.lit(n)).cast("int")).repartition(n, "b")
+    write(dealt, path, partition_by="b")
+    return Blocks(path=path, n=n)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
@@ -204,12 +219,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     carry = [f"c{i}" for i in range(len(kept))]
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, carry, strict=True)], F.col(f"`{text_col}`").cast("string").alias("t"))
     kinds = ", ".join(f"{n} {inner.schema[n].dataType.simpleString()}" for n in carry)
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
-    if len(blocks) == 1:
-        out = inner.mapInArrow(_one_block(blocks[0], carry), f"{kinds}, {_RESULT}")
-    else:
-        inner = inner.withColumns({"spans": F.array().cast("array<bigint>"), "names": F.array().cast("array<string>")})
-        for block in blocks:
-            inner = inner.mapInArrow(_some_blocks(block), inner.schema)
-        out = inner.mapInArrow(_judged(carry), f"{kinds}, {_RESULT}")
+    out = inner.mapInArrow(_judged(benchmark_blocks(benchmark, item_col, item_text_col, block_bytes), carry), f"{kinds}, {_RESULT}")
     return out.select(*[F.col(n).alias(c) for c, n in zip(kept, carry, strict=True)], *(F.col(x.split()[0]).alias(prefix + x.split()[0]) for x in _RESULT.split(", ")))
