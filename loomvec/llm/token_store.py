@@ -9,9 +9,10 @@ consecutive documents, concatenated, in ascending document order:
     of document ids, bytes of their low and high parts; then the four parts, then the ids.
 
 Boundaries (documents + 1 values) and document ids are Elias-Fano sequences: each value's
-low bits are packed, its high part is a one-bit in a unary-coded bit vector. ``select(i)``
-finds the i-th one-bit through a small directory of bit counts, so no 64-bit offset table
-exists. Ids take two bytes if they fit, else four.
+low bits are packed, its high part is a one-bit in a unary-coded bit vector. ``select``
+finds the i-th one-bits through a small directory of bit counts. Readers ask it for the
+boundaries and ids of ``READ`` documents at a time, so no 64-bit offset table exists. Ids
+take two bytes if they fit, else four.
 
 Encoding: texts are cut before single spaces between other characters, where the
 tokenizer's own pre-tokenizer always cuts; each distinct chunk of a batch is encoded once
@@ -29,6 +30,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomvec.llm import textscan as ts
-from loomvec.llm.common import partitions
+from loomvec.llm.common import partitions, write
 
 BLOCK_IDS = 1 << 20
 _HEAD = struct.Struct("<4s11Q")
 _DIRECTORY = 512
+READ = 4096
 
 
 class EliasFano:
@@ -70,29 +73,27 @@ class EliasFano:
         high[ones] = 1
         return cls(n, bits, low.tobytes(), np.packbits(high).tobytes())
 
-    def select(self, i: int) -> int:
-        """The i-th value, read from the 512 bits that hold its one-bit."""
-        if not 0 <= i < self.n:
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The values of numbers ``i``, read from the 512 bits that hold each one's one-bit."""
+        if len(i) and not (0 <= i.min() and i.max() < self.n):
             raise IndexError(i)
-        part = int(np.searchsorted(self.before, i, "right")) - 1
-        bits = np.unpackbits(self.high[part * _DIRECTORY // 8 : (part + 1) * _DIRECTORY // 8])
-        at = part * _DIRECTORY + int(np.flatnonzero(bits)[i - int(self.before[part])])
-        out = at - i
-        if self.low_bits:
-            a, z = i * self.low_bits, (i + 1) * self.low_bits
-            word = int.from_bytes(self.low[a // 8 : (z + 7) // 8].tobytes(), "big")
-            out = out << self.low_bits | word >> (-z % 8) & ((1 << self.low_bits) - 1)
-        return out
-
-    def all(self) -> np.ndarray:
-        """Every value, as unsigned 64-bit integers."""
-        ones = np.flatnonzero(np.unpackbits(self.high))
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bits = np.unpackbits(self.low)[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            wide = np.zeros((self.n, 64), np.uint8)
-            wide[:, 64 - self.low_bits :] = bits
-            out |= np.packbits(wide, axis=1).view(">u8").ravel().astype(np.uint64)
+        part = np.searchsorted(self.before, i, "right") - 1
+        parts, which = np.unique(part, return_inverse=True)
+        size = _DIRECTORY // 8
+        bytes_ = parts[:, None] * size + np.arange(size)
+        high = np.where(bytes_ < len(self.high), self.high[np.minimum(bytes_, max(len(self.high) - 1, 0))] if len(self.high) else 0, 0).astype(np.uint8)
+        ones = np.flatnonzero(np.unpackbits(high.ravel()))
+        before = self.before[parts].astype(np.int64)
+        count = self.before[parts + 1].astype(np.int64) - before
+        at = ones[(np.cumsum(count) - count - before)[which] + i] + (part - which) * _DIRECTORY
+        out = (at - i).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:  # up to 64 bits that begin inside a byte: from 16 bytes
+            bit = i * self.low_bits
+            padded = np.append(self.low, np.zeros(16, np.uint8))
+            eight = np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,))
+            first, shift = eight[bit // 8].astype(np.uint64), (bit % 8).astype(np.uint64)
+            rest = padded[bit // 8 + 8].astype(np.uint64)
+            out |= (first << shift | rest >> (np.uint64(8) - shift)) >> np.uint64(64 - self.low_bits)
         return out
 
 
@@ -120,12 +121,19 @@ class Block:
             cuts.append(data[at : at + size])
             at += size
         self.n, self.ends = n, EliasFano(n + 1, e_bits, cuts[0], cuts[1])
-        names = EliasFano(n - nulls, d_bits, cuts[2], cuts[3]).all() + np.uint64(first)
-        self.doc_ids: list[int | None] = [None] * nulls + names.view(np.int64).tolist()
+        self.nulls, self.first, self.names = nulls, first, EliasFano(n - nulls, d_bits, cuts[2], cuts[3])
         self.ids = np.frombuffer(data, f"<u{width}", n_ids, at)
 
+    def documents(self) -> Iterator[tuple[list[int | None], np.ndarray]]:
+        """(document ids, boundaries) of ``READ`` documents at a time."""
+        for a in range(0, self.n, READ):
+            z = min(self.n, a + READ)
+            known = self.names.select(np.arange(max(a, self.nulls), max(z, self.nulls)) - self.nulls) + np.uint64(self.first)
+            yield [None] * (min(z, self.nulls) - min(a, self.nulls)) + known.view(np.int64).tolist(), self.ends.select(np.arange(a, z + 1)).astype(np.int64)
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i) : self.ends.select(i + 1)]
+        a, z = self.ends.select(np.array([i, i + 1])).tolist()
+        return self.ids[a:z]
 
 
 @lru_cache(maxsize=2)
@@ -139,29 +147,43 @@ def tokenizer(path: str):
 class Chunks:
     """Ids of chunks of text, as bytes, remembered from batch to batch of a worker.
 
-    Two generations of at most ``MOST`` chunks each bound the memory; a chunk that is used
-    again moves to the young one.
+    Beyond ``MOST`` chunks or ``MOST_IDS`` ids only those of the batch at hand stay, which
+    bounds the memory and keeps the frequent ones.
     """
 
-    MOST = 200_000
+    MOST, MOST_IDS, LONGEST = 400_000, 4_000_000, 64
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.young, self.old = tokenizer(path), {}, {}
-
-    def ids(self, chunks: list[bytes]) -> list[bytes]:
-        found = [self.young.get(c) or self.old.get(c) for c in chunks]
-        new = [k for k, f in enumerate(found) if f is None]
-        texts = [chunks[k].decode() for k in new]
-        for k, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else [], strict=True):
-            found[k] = np.array(e.ids, "<u4").tobytes()
-        for c, f in zip(chunks, found, strict=True):
-            if len(c) <= 64:
-                self.young[c] = f
-                if len(self.young) >= self.MOST:
-                    self.old, self.young = self.young, {}
+        self.tokenizer, self.known = tokenizer(path), {}
+        self.flat, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first and number of each chunk's)."""
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [chunks[k] for k in new.tolist()]
+            rows = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)]
+            size = np.fromiter(map(len, rows), np.int64, len(rows))
+            at[new] = len(self.size) + np.arange(len(new))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), "<u4", int(size.sum()))])
+            self.size = np.concatenate([self.size, size])
+            self.known.update((c, k) for c, k in zip(fresh, at[new].tolist(), strict=True) if len(c) <= self.LONGEST)
+        first = (np.cumsum(self.size) - self.size)[at]
+        found = self.flat, first, self.size[at]
+        if len(self.known) > self.MOST or len(self.flat) > self.MOST_IDS:
+            self.flat, self.size = self.flat[_ranges(first, found[2])], found[2]
+            self.known = {c: k for k, c in enumerate(chunks) if len(c) <= self.LONGEST} if len(chunks) <= self.MOST else {}
+            if not self.known or len(self.flat) > self.MOST_IDS:
+                self.known, self.flat, self.size = {}, self.flat[:0], self.size[:0]
         return found
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, one range after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - first, size)
+
+
 @lru_cache(maxsize=2)
 def chunk_ids(path: str) -> Chunks:
     return Chunks(path)
@@ -197,14 +219,10 @@ def encode_texts(path: str, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     rep, which = ts.distinct_spans(raw, starts, ends) if len(starts) else (starts, starts)
     chunk, chunk_off = ts.joined(raw, starts[rep], ends[rep])
     data = chunk.tobytes()
-    each = chunk_ids(path).ids([data[a:b] for a, b in zip(chunk_off[:-1].tolist(), chunk_off[1:].tolist(), strict=True)])
-    flat = np.frombuffer(b"".join(each), "<u4")
-    size = np.fromiter(map(len, each), np.int64, len(each)) // 4
-    begin = np.cumsum(size) - size
-    lens = size[which] if len(which) else np.zeros(0, np.int64)
-    at = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(begin[which] if len(which) else lens, lens)
+    flat, begin, size = chunk_ids(path).ids([data[a:b] for a, b in zip(chunk_off[:-1].tolist(), chunk_off[1:].tolist(), strict=True)])
+    lens = size[which]
     total = np.concatenate([[0], np.cumsum(lens)])
-    return flat[at], np.diff(total[np.searchsorted(starts, off)])
+    return flat[_ranges(begin[which], lens)], np.diff(total[np.searchsorted(starts, off)])
 
 
 def _blocks(path: str, end_id: int, block_ids: int):
@@ -250,18 +268,18 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
     """Encode every text and write the store to ``path`` in ascending id order."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"))
     dealt = rows.repartitionByRange(4 * partitions(docs.sparkSession), F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), "t")
-    dealt.mapInArrow(_blocks(tokenizer_path, end_id, block_ids), "part int, seq int, before long, n_ids long, block binary").write.option("compression", "none").parquet(path)
+    write(dealt.mapInArrow(_blocks(tokenizer_path, end_id, block_ids), "part int, seq int, before long, n_ids long, block binary"), path, compression="none")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, data in zip(batch.column("start").to_pylist(), batch.column("block").to_pylist(), strict=True):
             block = Block(data)
-            ends = block.ends.all().astype(np.int64)
-            wide = block.ids.astype("<u4").tobytes()
-            crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            cols = [pa.array(block.doc_ids, pa.int64()), pa.array(start + ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["d", "start", "n_tokens", "ids_crc32"])
+            for doc_ids, ends in block.documents():
+                wide, low = block.ids[ends[0] : ends[-1]].astype("<u4").tobytes(), 4 * int(ends[0])
+                crc = [zlib.crc32(wide[a - low : b - low]) for a, b in zip((4 * ends[:-1]).tolist(), (4 * ends[1:]).tolist(), strict=True)]
+                cols = [pa.array(doc_ids, pa.int64()), pa.array(start + ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["d", "start", "n_tokens", "ids_crc32"])
 
 
 def _with_starts(store: DataFrame) -> DataFrame:
@@ -285,8 +303,9 @@ def read_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFram
         for batch in batches:
             for data in batch.column("block").to_pylist():
                 block = Block(data)
-                ids = pa.ListArray.from_arrays(pa.array(block.ends.all().astype(np.int32)), pa.array(block.ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, pa.int64()), ids], ["d", "ids"])
+                for doc_ids, ends in block.documents():
+                    ids = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(block.ids[ends[0] : ends[-1]].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ids], ["d", "ids"])
 
     store = spark.read.schema("part int, seq int, before long, n_ids long, block binary").parquet(path).select("block")
     return store.mapInArrow(run, "d long, ids array<int>").withColumnRenamed("d", id_col)
