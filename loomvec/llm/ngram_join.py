@@ -1,7 +1,7 @@
 """Operator 8: n-gram Jaccard self-join with Bayesian candidate pruning.
 
 Texts are sets of five-word shingles (a text of one to four words is one shingle). Rows
-with the same words are one class. Steps:
+with the same words (a 128-bit digest of their bytes) are one class. Steps:
 
 1. ``HASHES`` MinHash values per class; ``HASHES / ROWS`` bands of ``ROWS`` values. Classes
    that share a band meet (a pair at similarity 0.8 misses all bands with probability
@@ -10,10 +10,11 @@ with the same words are one class. Steps:
    posterior probability of reaching the threshold (uniform prior) is under ``TOLERANCE``.
    Only connectivity is kept: a class is compared with those not yet reached.
 3. Connected candidates form groups. Inside a group every pair is pruned the same way and
-   the rest is verified exactly on the shingle sets; links are counted, not listed.
+   the rest is verified exactly: words are numbered by their bytes, shingles by their words.
+   Links are counted, not listed.
 
-Groups over ``BLOCK`` classes are split into pairs of blocks, so no task holds an unbounded
-group; nothing emits all pairs.
+Groups over ``BLOCK`` classes (``CHECKED`` where texts are compared) are split into pairs of
+blocks, so no task holds an unbounded group; nothing emits all pairs.
 
 Result per row: id, class_id (the least id of the connected component of exact links) and
 n_links (other rows with similarity >= threshold; copies count each).
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomvec.llm import textscan as ts
-from loomvec.llm.common import partitions, written
+from loomvec.llm.common import Scratch, partitions
 from loomvec.llm.components import components
 
 SHINGLE = 5
@@ -44,8 +45,8 @@ THRESHOLD = 0.8
 HASHES, ROWS = 72, 3
 TOLERANCE = 1e-6
 STEP = 8
-BLOCK = 4096
-BLOCK_BYTES = 16_000_000
+BLOCK, CHECKED = 4096, 1024
+BLOCK_BYTES = 4_000_000
 
 
 @lru_cache(maxsize=1)
@@ -73,19 +74,24 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
 
 def shingles(words: ts.Words) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of all texts and the first of each text."""
-    h, n = words.hashes, np.diff(words.first)
-    count = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(np.int64))
-    off = np.concatenate([[0], np.cumsum(count)])
-    at = np.arange(int(off[-1])) - np.repeat(off[:-1], count) + np.repeat(words.first[:-1], count)
-    end = np.repeat(words.first[1:], count)
-    out = np.zeros(len(at), np.uint64)
-    for k in range(SHINGLE):
-        there = at + k < end
-        part = np.where(there, h[np.minimum(at + k, max(len(h) - 1, 0))] if len(h) else 0, np.uint64(k + 1))
+    parts, off = _windows(words.hashes, words.first)
+    out = np.zeros(len(parts[0]), np.uint64)
+    for part in parts:
         out = ts.mix(out + part * np.uint64(0xA24BAED4963EE407))
     return out, off
 
 
+def _windows(values: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The k-th word's value of every shingle, for each k, and the first shingle of each text; 0 where a text ends."""
+    n = np.diff(first)
+    count = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(np.int64))
+    off = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(int(off[-1])) - np.repeat(off[:-1], count) + np.repeat(first[:-1], count)
+    end = np.repeat(first[1:], count)
+    padded = np.concatenate([values, np.zeros(SHINGLE, values.dtype)])
+    return [np.where(at + k < end, padded[at + k], 0).astype(values.dtype) for k in range(SHINGLE)], off
+
+
 def signatures(shingle: np.ndarray, off: np.ndarray) -> np.ndarray:
     """MinHash values, a row per text; texts without shingles have the largest value."""
     out = np.full((len(off) - 1, HASHES), 0xFFFFFFFF, np.uint32)
@@ -98,7 +104,8 @@ def signatures(shingle: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _digests(words: ts.Words) -> list[bytes | None]:
-    data, first = words.hashes.tobytes(), (8 * words.first).tolist()
+    raw, off = words.plain()
+    data, first = raw.tobytes(), off.tolist()
     return [hashlib.blake2b(data[a:b], digest_size=16).digest() if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
@@ -249,57 +256,56 @@ class Forest:
 
 
 def _sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text, numbered over the group, and their offsets."""
-    flat, at = shingles(ts.Words(raw, off))
-    number = np.unique(flat, return_inverse=True)[1] if len(flat) else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    pair = np.unique(doc * (int(number.max(initial=0)) + 1) + number)
-    doc, number = np.divmod(pair, int(number.max(initial=0)) + 1)
-    return number, np.searchsorted(doc, np.arange(len(at)))
+    """Distinct shingles of each text, numbered by what their words' bytes are, and their offsets."""
+    words = ts.Words(raw, off)
+    rep, number = ts.distinct_spans(words.low, words.starts, words.ends)
+    parts, at = _windows(number.astype(np.int64) + 1, words.first)
+    n = len(rep) + 1
+    if not len(parts[0]):
+        return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
+    front, back = (np.unique(parts[k] * n + parts[k + 1], return_inverse=True)[1] for k in (0, 2))
+    four = np.unique(front * (int(back.max()) + 1) + back, return_inverse=True)[1]
+    shingle = np.unique(four * n + parts[4], return_inverse=True)[1]
+    most = int(shingle.max()) + 1
+    doc, shingle = np.divmod(np.unique(np.repeat(np.arange(len(at) - 1), np.diff(at)) * most + shingle), most)
+    return shingle, np.searchsorted(doc, np.arange(len(at)))
 
 
 def _verified(threshold: float, floor: tuple[int, ...]):
     """Per class of a task: rows linked to it and the least class it is connected with here."""
 
-    def one(table: pa.Table) -> tuple[np.ndarray, list[int]]:
-        n = table.num_rows
-        sig = fixed_rows(table.column("sig"), np.uint32, HASHES)
-        copies, own = table.column("n").to_numpy(), table.column("own").to_numpy()
-        crossing = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        number, at = _sets(*ts.text_bytes(table.column("t")))
-        size = np.diff(at)
-        links, forest = np.zeros(n, np.int64), Forest(n)
-        flag = np.zeros(int(number.max(initial=0)) + 1, bool)
-        for x in range(n - 1):
-            later = np.arange(x + 1, n)
-            if crossing:
-                later = later[own[later] != own[x]]
-            later = later[probable(sig[x], sig[later], floor)]
-            if not len(later):
-                continue
-            flag[number[at[x] : at[x + 1]]] = True
-            lens = size[later]
-            first = np.cumsum(lens) - lens
-            index = np.arange(int(lens.sum())) - np.repeat(first, lens) + np.repeat(at[:-1][later], lens)
-            shared = np.add.reduceat(flag[number[index]].astype(np.int64), first)
-            flag[number[at[x] : at[x + 1]]] = False
-            later = later[shared >= threshold * (size[x] + lens - shared) - 1e-9]
-            links[x] += copies[later].sum()
-            links[later] += copies[x]
-            for y in later.tolist():
-                forest.join(x, y)
-        return links, [forest.find(x) for x in range(n)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "comp"):
-            start = group_starts(table, "comp").tolist()
-            links, roots = [], []
-            for a, z in zip(start, [*start[1:], table.num_rows], strict=True):
-                found, root = one(table.slice(a, z - a).combine_chunks())
-                links.append(found)
-                roots += [a + r for r in root]
+            sig = fixed_rows(table.column("sig"), np.uint32, HASHES)
+            copies, own = table.column("n").to_numpy(), table.column("own").to_numpy()
+            crossing = table.column("i").to_numpy() != table.column("j").to_numpy()
+            number, at = _sets(*ts.text_bytes(table.column("t")))
+            size = np.diff(at)
+            links, forest = np.zeros(table.num_rows, np.int64), Forest(table.num_rows)
+            flag = np.zeros(int(number.max(initial=0)) + 1, bool)
+            start = group_starts(table, "comp")
+            last = np.repeat(np.append(start[1:], table.num_rows), np.diff(np.append(start, table.num_rows))).tolist()
+            for x in range(table.num_rows):
+                later = np.arange(x + 1, last[x])
+                if crossing[x]:
+                    later = later[own[later] != own[x]]
+                later = later[probable(sig[x], sig[later], floor)]
+                if not len(later):
+                    continue
+                flag[number[at[x] : at[x + 1]]] = True
+                lens = size[later]
+                first = np.cumsum(lens) - lens
+                index = np.arange(int(lens.sum())) - np.repeat(first, lens) + np.repeat(at[:-1][later], lens)
+                shared = np.add.reduceat(flag[number[index]].astype(np.int64), first)
+                flag[number[at[x] : at[x + 1]]] = False
+                later = later[shared >= threshold * (size[x] + lens - shared) - 1e-9]
+                links[x] += copies[later].sum()
+                links[later] += copies[x]
+                for y in later.tolist():
+                    forest.join(x, y)
             names = table.column("class").combine_chunks()
-            yield pa.RecordBatch.from_arrays([names, names.take(pa.array(roots, pa.int64())), pa.array(np.concatenate(links))], ["class", "root", "links"])
+            roots = [forest.find(x) for x in range(table.num_rows)]
+            yield pa.RecordBatch.from_arrays([names, names.take(pa.array(roots, pa.int64())), pa.array(links)], ["class", "root", "links"])
 
     return run
 
@@ -310,30 +316,35 @@ def _inner(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Tables (d, class) of rows, and (class, root, rep, n, links) of classes with words."""
-    floor = least_matches(threshold, TOLERANCE)
+    floor, scratch = least_matches(threshold, TOLERANCE), Scratch(docs.sparkSession)
     rows = _inner(docs, id_col, text_col)
-    sketched = written(rows.mapInArrow(_sketched, "d long, class binary, sig binary, size int"), "sketches")
+    sketched = scratch.write(rows.mapInArrow(_sketched, "d long, class binary, sig binary, size int"), "sketches")
     classes = sketched.where("class is not null").groupBy("class").agg(F.min("d").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("size").alias("size"))
-    classes = written(classes, "classes")
+    classes = scratch.write(classes, "classes")
+    named = scratch.write(sketched.select("d", "class"), "named")
+    scratch.drop("sketches")
     width = 4 * ROWS
     bands = F.array(*[F.xxhash64(F.substring("sig", width * b + 1, width), F.lit(b)) for b in range(HASHES // ROWS)])
     met = split_groups(classes.select(F.explode(bands).alias("key"), "class"), "key", BLOCK)
     met = by_task(met.join(classes.select("class", "sig"), "class").select("key", "i", "j", "class", "sig"), "key")
     edges = met.mapInArrow(_candidate_edges(floor), "a binary, b binary")
-    comps = components(edges, "candidates")
+    comps = components(edges, scratch, "candidates")
     members = classes.join(comps.select(F.col("node").alias("class"), F.col("root").alias("comp")), "class")
-    members = split_groups(members.withColumn("bytes", 8 * F.col("size").cast("long")), "comp", BLOCK, "bytes")
+    members = split_groups(members.withColumn("bytes", 8 * F.col("size").cast("long")), "comp", CHECKED, "bytes")
     # the text of each class, from one of its rows: those of the least id, told apart by digest
     reps = members.select("rep", "class").distinct()
     texts = rows.join(reps.select("rep").distinct(), F.col("d").eqNullSafe(F.col("rep")), "left_semi")
     texts = texts.mapInArrow(_digested(["d", "t"], "t"), "d long, t string, class binary").groupBy("class").agg(F.first("t").alias("t"))
     tasks = by_task(members.join(texts, "class").select("comp", "i", "j", "own", "class", "n", "sig", "t"), "comp")
-    parts = written(tasks.mapInArrow(_verified(threshold, floor), "class binary, root binary, links long"), "links")
-    roots = components(parts.select(F.col("class").alias("a"), F.col("root").alias("b")), "classes")
+    parts = scratch.write(tasks.mapInArrow(_verified(threshold, floor), "class binary, root binary, links long"), "links")
+    scratch.drop("candidates")
+    roots = components(parts.select(F.col("class").alias("a"), F.col("root").alias("b")), scratch, "roots")
     links = parts.groupBy("class").agg(F.sum("links").alias("links"))
     known = classes.select("class", "rep", "n").join(links, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
     known = known.select("class", F.coalesce("root", "class").alias("root"), "rep", "n", F.coalesce("links", F.lit(0)).alias("links"))
-    return sketched.select("d", "class"), written(known, "joined")
+    known = scratch.write(known, "joined")
+    scratch.drop("classes", "links", "roots")
+    return named, known
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -13,10 +13,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomvec.llm import decontaminate, language_id, line_dedup, ngram_join, piece_bpe, textscan, token_store, topk, toxicity, url_filter, warc_revisit
-from loomvec.llm.common import new_table_path
+from loomvec.llm import common, decontaminate, language_id, line_dedup, ngram_join, piece_bpe, queries, textscan, token_store, topk, toxicity, url_filter, warc_revisit
+from loomvec.llm.common import Scratch, new_table_path
 from loomvec.llm.components import components
 from loomvec.llm.queries import BYTE_MODEL, PIECE_MODEL, RULES, tokenizer_path
+from loomvec.llm.urls import canonical_url
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,14 +52,78 @@ def test_words_are_those_of_the_pattern(texts):
         assert by_hash.setdefault(h, word) == word
 
 
+@given(st.lists(st.text(alphabet="ab", max_size=40), min_size=2, max_size=6), st.integers(1, 40))
+@settings(max_examples=60, deadline=None)
+def test_hashes_of_long_spans_tell_them_apart(parts, times):
+    spans = [p.encode() * times for p in parts]
+    off = np.cumsum([0, *map(len, spans)])
+    raw = np.frombuffer(b"".join(spans), np.uint8)
+    for seed in (0, 1):
+        got = textscan.span_hashes(raw, off[:-1], off[1:], seed).tolist()
+        assert [[a == b for b in got] for a in got] == [[a == b for b in spans] for a in spans]
+
+
+def test_plain_words(spark):
+    import pyarrow as pa
+
+    texts = [" A  b.", "", "...", None, "x", "\u00e9 9z"]
+    raw, off = textscan.Words(*textscan.text_bytes(pa.array(texts))).plain()
+    assert [raw[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:], strict=True)] == [" ".join(words(t)) for t in texts]
+
+
+def thue_morse(n):
+    """Two words that a polynomial hash modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_joins_tell_long_words_apart(spark):
+    docs = table(spark, [(k, w) for k, w in enumerate(thue_morse(2048))] + [(2, thue_morse(2048)[0])], "doc_id long, text string")
+    assert rows(line_dedup.dedup_lines(docs), "doc_id", "n_removed") == [(0, 0), (1, 0), (2, 1)]
+    assert rows(ngram_join.ngram_join(docs), "doc_id", "class_id", "n_links") == [(0, 0, 1), (1, 1, 0), (2, 0, 1)]
+
+
+# --- tables in the shared folder
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "local-cluster[2,1,1024]", "applicationId": "a"})()  # noqa: N815
+
+    with pytest.raises(ValueError, match=r"spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_operators_leave_only_what_their_result_reads(spark):
+    import os
+
+    docs = table(spark, copies(np.random.default_rng(10)), "doc_id long, text string")
+    named = dict(spark.conf.getAll)
+    for make, left in ((line_dedup.dedup_lines, ["line-stays"]), (ngram_join.ngram_join, ["joined", "named"])):
+        before = common.tables(spark)
+        out = make(docs)
+        new = [p for p in common.tables(spark) if p not in before]
+        assert sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in new) == left
+        assert out.count() == docs.count()
+        common.drop_tables(spark, new)
+        assert common.tables(spark) == before and not any(os.path.exists(p.removeprefix("file://")) for p in new)
+    assert dict(spark.conf.getAll) == named  # settings for writing are put back
+
+
 # --- 1: top-k
 
 
-def test_topk_equals_brute_force(spark):
+@pytest.mark.parametrize(("query_group", "stripe"), [(2, 50), (8192, 200_000)])
+def test_topk_equals_brute_force(spark, query_group, stripe):
     rng = np.random.default_rng(1)
     data = [(i, [float(x) for x in rng.integers(-4, 5, 20) / 8]) for i in range(400)]
     data += [(100, data[7][1]), (7, data[7][1]), (500, None), (501, [1.0, None]), (502, [float("nan")] * 20), (503, [float("inf")] * 20), (600, [1e30] * 20), (None, [0.0] * 20), (700, [1.0, 2.0]), (800, []), (900, [1e30] * 20)]
-    got = rows(topk.top_k(table(spark, [(*d, "x") for d in data], "vec_id long, embedding array<float>, score string"), F.col("vec_id") % 100 == 0, k=5, query_block=4), "query_id", "rank", "vec_id", "score")
+    got = rows(topk.top_k(table(spark, [(*d, "x") for d in data], "vec_id long, embedding array<float>, score string"), F.col("vec_id") % 100 == 0, k=5, query_group=query_group, stripe=stripe), "query_id", "rank", "vec_id", "score")
     import math
 
     whole = []
@@ -113,9 +178,39 @@ def test_revisits_equal_brute_force(spark):
         assert one.headers == (mine if status == "mismatch" else merged)
 
 
+def test_revisits_in_one_hot_url_with_equal_and_extreme_times(spark):
+    ends = [-(2**63), 2**63 - 1]
+    data = [(i, "http://a.org/x", [5, ends[0], ends[1], i][i % 4], ["response", "revisit"][i // 4 % 2], None, None, None, None) for i in range(400)]
+    data += [(1007, "http://a.org/x", 5, "revisit", None, None, None, {"DATE": "1", "date": "2", "Date": "0", "x": None})] * 2
+    schema = "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
+    out = warc_revisit.resolve_revisits(table(spark, data, schema), slices=9).collect()
+    order = sorted((r[2], r[0]) for r in data if r[3] == "response")
+    assert len(out) == sum(r[3] == "revisit" for r in data)
+    for r in out:
+        when = next(d[2] for d in data if d[0] == r.record_id and d[3] == "revisit")
+        past = [x[1] for x in order if x < (when, r.record_id)]
+        assert r.response_id == (past[-1] if past else None)
+        assert r.headers == ({"date": "2"} if r.record_id == 1007 else {})
+    assert warc_revisit.resolve_revisits(table(spark, [], schema)).count() == 0
+
+
+def test_captures_meet_other_pages(spark):
+    out = queries.op2_warc_revisit(spark, "/root/testdata/sf0.01").collect()
+    status = [r.status for r in out]
+    assert {"resolved", "mismatch", "unverified", "no_response"} == set(status)
+    assert sum(r.response_id == r.record_id - 1 for r in out) < len(out) / 2
+
+
+def test_canonical_urls(spark):
+    urls = ["HTTP://WWW.A.org:80/x/?utm_a=1&b=2&ref=3#t", "https://a.org:443", "https://a.org:80/", "http://a.org/?ref=x", "nothing", None, "", "a:b://C/d"]
+    want = ["a.org/x?b=2", "a.org", "a.org:80", "a.org", "nothing", None, "", "c/d"]
+    got = table(spark, list(enumerate(urls)), "i int, u string").select("i", canonical_url(F.col("u")).alias("c"))
+    assert [r.c for r in got.orderBy("i").collect()] == want
+
+
 # --- 3: pieces
 
-ODD = ["", None, "a", " a", "a  b\n\nc\t", "▁x", "<s>hi</s><unk>", "\0a", "é" * 3, "　x", "🙂͸x", "a\r\nb ", " " * 400, "ab" * 700, "x ▁ y", "<0x41>", "the " * 3000]
+ODD = ["", None, "a", " a", "a  b\n\nc\t", "▁x", "<s>hi</s><unk>", "\0a", "é" * 3, "　x", "🙂͸x", "a\r\nb ", " " * 400, "ab" * 700, "x ▁ y", "<0x41>", "the " * 3000, "the" * 3000, "=" * 3000, "etaoinshrdlu" * 300, "中文" * 900]
 
 
 @pytest.fixture(scope="module")
@@ -155,33 +250,52 @@ def test_decoding_of_any_ids(library, ids):
 
 
 def phrases(text, sample):
-    """Greedy parse of one segment by substring search."""
-    n, at = 1, 0
-    now = ""
-    while at < len(text):
-        if now + text[at] in sample:
-            now += text[at]
+    """Greedy parse of a whole text by substring search."""
+    n, now = int(bool(text)), ""
+    for c in text:
+        if now + c in sample:
+            now += c
         else:
             n += 1
-            now = text[at] if text[at] in sample else ""
-        at += 1
+            now = c if c in sample else ""
     return n
 
 
-def test_phrases_equal_substring_search():
+def fold(text):
+    return re.sub(r"[^a-zé]+", "_", text.lower())
+
+
+def test_phrases_equal_substring_search(monkeypatch):
     import pyarrow as pa
 
-    fold = lambda t: re.sub(r"[^a-zé]+", "_", t.lower())
-    samples = (("aa", "the cat sat on the mat and the rat"), ("bb", "le chat été sur la table et le rat"))
-    texts = ["the rat été zq", "", "x" * 50, "the cat. Sat! " * 200, "ÉTÉ", "12 34"]
-    p = language_id.CrossParser(samples)
-    chars, off = language_id.folded(*textscan.text_bytes(pa.array(texts)))
-    got = p.phrases(chars, off)
-    for k, t in enumerate(texts):
-        f = fold(t)
-        cut = [f[a : a + language_id.SEGMENT] for a in range(0, len(f), language_id.SEGMENT)]
-        for j, (_, s) in enumerate(samples):
-            assert got[k, j] == sum(phrases(c, fold(s)) for c in cut)
+    samples = (("aa", "the cat sat on the mat and the rat"), ("bb", "le chat été sur la table et le rat"), ("cc", "abab " * 40 + "ab" * 300))
+    rng = np.random.default_rng(11)
+    texts = ["the rat été zq", "", "x" * 50, "the cat. Sat! " * 700, "ÉTÉ", "12 34", "ab" * 4000, "a" * 3000, "".join(rng.choice(list("abet hcrs."), 6000))]
+    for segment, lanes in ((language_id.SEGMENT, 32), (7, 2)):
+        monkeypatch.setattr(language_id, "SEGMENT", segment)
+        monkeypatch.setattr(language_id, "LANES", lanes)
+        p = language_id.CrossParser(samples)
+        got = p.phrases(*language_id.folded(*textscan.text_bytes(pa.array(texts))))
+        assert got.tolist() == [[phrases(fold(t), fold(s)) for _, s in samples] for t in texts]
+
+
+def test_a_language_with_few_lettered_rows_is_learned(spark):
+    data = [(i, None, "zz") for i in range(3000)] + [(5000 + i, "qwq qaq qoq", "zz") for i in range(3)] + [(6000 + i, "the cat and the dog", "en") for i in range(900)]
+    docs = table(spark, data, "doc_id long, text string, lang string")
+    samples = language_id.learn(docs, sample_rows=20, sample_chars=60)
+    assert [k for k, _ in samples] == ["en", "zz"] and all(len(t) <= 60 + 20 for _, t in samples)
+    assert language_id.identify(docs.where("doc_id = 5001"), samples).first().lang_pred == "zz"
+
+
+def test_language_ties_long_texts_many_languages_and_no_rows(spark):
+    docs = table(spark, [(1, "abc abd", "bb"), (2, "abc abd", "aa"), (3, "x" * 50, "cc"), (4, "abc " * 60_000, None)] + [(100 + i, f"word{chr(0x4E00 + i)}", f"l{i}") for i in range(1200)], "doc_id long, text string, lang string")
+    samples = language_id.learn(docs, sample_chars=10)
+    assert len(samples) == 1203 and dict(samples)["cc"] == "x" * 50  # longer than the bound, and all that there is
+    few = language_id.learn(docs.where("doc_id < 4"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs.where("doc_id < 5"), few).collect()}
+    assert got[1] == got[2] == ("aa", 0.0) and got[3][0] == "cc" and got[4][0] == "aa"
+    assert language_id.identify(docs.limit(0), few).count() == 0
+    assert language_id.learn(docs.limit(0)) == ()
 
 
 def test_language_accuracy_and_odd_texts(spark):
@@ -225,7 +339,7 @@ def contaminated(docs, items):
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("block_bytes", [10**7, 60])
+@pytest.mark.parametrize("block_bytes", [10**7, 300])
 def test_contamination_equals_brute_force(spark, block_bytes):
     rng = np.random.default_rng(3)
     vocab = ["a", "bb", "Cc", "d9", "é"]
@@ -263,8 +377,8 @@ def deduped(docs):
     return sorted(out.values(), key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("first", [3, 1])
-def test_line_dedup_equals_brute_force(spark, first):
+@pytest.mark.parametrize("block", [1 << 15, 3])
+def test_line_dedup_equals_brute_force(spark, block):
     rng = np.random.default_rng(4)
     vocab = np.array([f"w{i}" for i in range(60)])
     base = [list(rng.choice(vocab, int(rng.integers(1, 30)), replace=False)) for _ in range(25)]
@@ -279,7 +393,7 @@ def test_line_dedup_equals_brute_force(spark, first):
             lines.append(" ".join(line))
         docs.append((i, "\n".join(lines)))
     docs += [(100, None), (101, ""), (102, "\n\n--\n"), (103, "a\n\n\na\nA."), (None, docs[3][1]), (104, "only " * 30000), (105, docs[5][1])]
-    got = rows(line_dedup.dedup_lines(table(spark, [(*d, "x") for d in docs], "doc_id long, text string, line string"), first=first), "doc_id", "text", "n_lines", "n_removed")
+    got = rows(line_dedup.dedup_lines(table(spark, [(*d, "x") for d in docs], "doc_id long, text string, line string"), block=block), "doc_id", "text", "n_lines", "n_removed")
     assert got == deduped(docs)
 
 
@@ -313,12 +427,13 @@ def test_token_store_round_trip(spark):
     assert back["ids"] == [0]
 
 
-@given(st.lists(st.integers(0, 2**40), max_size=200))
+@given(st.lists(st.one_of(st.integers(0, 2**40), st.integers(0, 2**64 - 1), st.integers(0, 9)), max_size=200))
 @settings(max_examples=80, deadline=None)
 def test_elias_fano_select(values):
     values = sorted(values)
     e = token_store.EliasFano.of(np.array(values, np.uint64))
-    assert e.all().tolist() == values == [e.select(i) for i in range(len(values))]
+    assert e.select(np.arange(len(values))).tolist() == values
+    assert all(e.select(np.array([i, 0, i])).tolist() == [v, values[0], v] for i, v in enumerate(values))
 
 
 def test_token_store_of_no_rows(spark):
@@ -367,6 +482,7 @@ def copies(rng):
 @pytest.mark.parametrize("block", [4096, 3])
 def test_ngram_join_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "CHECKED", block)
     docs = copies(np.random.default_rng(5))
     got = rows(ngram_join.ngram_join(table(spark, [(*d, "x") for d in docs], "doc_id long, text string, class string")), "doc_id", "class_id", "n_links")
     assert got == linked(docs)
@@ -388,7 +504,7 @@ def test_posterior_floor_is_a_binomial_tail():
 def test_components(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(500 + i, 501 + i) for i in range(40)]
-    got = dict(tuple(r) for r in components(table(spark, edges, "a long, b long"), "test").collect())
+    got = dict(tuple(r) for r in components(table(spark, edges, "a long, b long"), Scratch(spark), "test").collect())
     forest = {x: x for e in edges for x in e}
 
     def find(x):
@@ -398,7 +514,7 @@ def test_components(spark):
         a, b = find(a), find(b)
         forest[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in forest if any(x in e and e[0] != e[1] for e in edges)}
-    assert components(table(spark, [], "a long, b long"), "test").count() == 0
+    assert components(table(spark, [], "a long, b long"), Scratch(spark), "test").count() == 0
 
 
 # --- 9: toxicity
@@ -436,16 +552,19 @@ def test_isotonic_is_monotone_and_keeps_the_mean(pairs):
 
 
 def judged(url, listed):
-    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?", url or "")
     host, path = (m[1].translate(UPPER), m[2]) if m else ("", "")
     fits = [(len(h + p), len(h), v, h + p) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return host, path, max(fits)[3], max(fits)[2]
-    return host, path, None, "block" if host in listed or host + path.removesuffix("/") in listed else "allow"
+    root = re.sub("^www[.]", "", host)
+    root = root.removesuffix({"http": ":80", "https": ":443"}.get((url or "").split("://")[0].lower(), "?"))
+    whole = root + path.removesuffix("/") + ((m[3] or "") if m else "") if m else url
+    return host, path, None, "block" if root in listed or whole in listed else "allow"
 
 
 def test_url_verdicts_equal_brute_force(spark):
-    hosts = ["Example.com", "a.example.net", "net", "spam.org", "x.spam.org", "com", "notcom", ""]
+    hosts = ["Example.com", "a.example.net", "net", "spam.org", "www.Spam.org:80", "x.spam.org", "com", "notcom", ""]
     paths = ["", "/", "/en/", "/en/7", "/de/8/x", "/de/", "/es/q?x=1", "/p/1", "/p/1/", "/p/1#f"]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "nothing", "://", "http://a\nb/en/", "x://com?/en/"]
     pages = table(spark, [(i, u, "r") for i, u in enumerate(urls)] + [(0, urls[0], "r")], "page_id long, url string, rule string")
@@ -455,4 +574,6 @@ def test_url_verdicts_equal_brute_force(spark):
         got = rows(out, "page_id", "host", "path", "rule", "verdict")
         want = [(i, *judged(u, names)) for i, u in [*enumerate(urls), (0, urls[0])]]
         assert got == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
+    plan = url_filter.judge_urls(pages, table(spark, [("a.org",)], "url string"), RULES)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
     assert url_filter.judge_urls(pages.limit(0), table(spark, [], "url string"), []).count() == 0
