@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomvec.llm import decontaminate, line_dedup, ngram_join, piece_bpe, toxicity
-from loomvec.llm.common import crc32_of_id, read, written
+from loomvec.llm.common import Scratch, crc32_of_id, drop_tables, read, tables
 from loomvec.llm.queries import PIECE_MODEL, TOXIC_AT, tokenizer_path
 
 OWN = "__lv_"  # before the names of columns that a stage adds for itself
@@ -72,7 +72,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    """All stages; of the tables on the way only the last one stays, which the result reads."""
+    docs, scratch = read(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES:
+        before = tables(spark)
+        docs = scratch.write(stage(spark, docs, sf_dir), "stage")
+        drop_tables(spark, [p for p in tables(spark) if p not in before and p != scratch.paths["stage"]])
     return docs
