@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-from loomvec.functions.tokens import FIRST_ID, LAST_ID
+from loomvec.functions.tokens import encoded
 
 
 class CodepointTokenizer:
@@ -23,17 +24,7 @@ class CodepointTokenizer:
         self.max_length = max_length
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        cut = [(t or "")[: max(0, self.max_length - 1)] for t in texts]
-        chars = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        size = np.fromiter(map(len, cut), np.int64, len(cut))
-        lens = np.minimum(size + 2, self.max_length)
-        off = np.concatenate([[0], np.cumsum(lens)])
-        ids = np.full(int(off[-1]), LAST_ID, np.int64)
-        first = np.cumsum(size) - size
-        ids[off[:-1][lens > 0]] = FIRST_ID
-        at = np.arange(len(chars)) - np.repeat(first, size)
-        ids[np.repeat(off[:-1] + 1, size) + at] = chars
-        return ids, off
+        return encoded(texts, self.max_length)
 
 
 class FileTokenizer:
@@ -45,12 +36,19 @@ class FileTokenizer:
         self.inner, self.max_length, self.pad_output = Tokenizer.from_file(path), max_length, pad_output
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        rows = []
-        for e in self.inner.encode_batch([t or "" for t in texts], add_special_tokens=True):
-            ids = [i for i, m in zip(e.ids, e.attention_mask, strict=True) if m][: self.max_length]
-            rows.append(ids + [0] * (self.max_length - len(ids)) if self.pad_output else ids)
-        off = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        return np.array([i for r in rows for i in r], np.int64), off
+        found = self.inner.encode_batch([t or "" for t in texts], add_special_tokens=True)
+        size = np.fromiter((len(e) for e in found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int64, int(size.sum()))
+        real = np.fromiter(chain.from_iterable(e.attention_mask for e in found), np.int64, len(ids)) != 0
+        row = np.repeat(np.arange(len(found)), size)[real]
+        ids, size = ids[real], np.bincount(row, minlength=len(found))
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+        ids, row, place = ids[place < self.max_length], row[place < self.max_length], place[place < self.max_length]
+        lens = np.full(len(found), self.max_length) if self.pad_output else np.minimum(size, self.max_length)
+        off = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+        out = np.zeros(int(off[-1]), np.int64)
+        out[off[row] + place] = ids
+        return out, off
 
 
 class ResidueEncoder:
@@ -64,13 +62,19 @@ class ResidueEncoder:
 
 
 class OnnxEncoder:
-    """A model file run by onnxruntime; inputs are bound by name, type ids are zeros."""
+    """A model file run by onnxruntime; inputs are bound by name, type ids are zeros.
 
-    def __init__(self, path: str, output: str, threads: int = 1) -> None:
+    All graph optimizations; the thread counts are at least 1, as Spark's tasks share the cores.
+    """
+
+    def __init__(self, path: str, output: str, intra_threads: int = 1, inter_threads: int = 1) -> None:
         import onnxruntime
 
         options = onnxruntime.SessionOptions()
-        options.intra_op_num_threads, options.inter_op_num_threads = threads, 1
+        options.intra_op_num_threads, options.inter_op_num_threads = max(1, intra_threads), max(1, inter_threads)
+        options.graph_optimization_level = onnxruntime.GraphOptimizationLevel.ORT_ENABLE_ALL
+        options.execution_mode = onnxruntime.ExecutionMode.ORT_PARALLEL if inter_threads > 1 else onnxruntime.ExecutionMode.ORT_SEQUENTIAL
+        options.log_severity_level = 4
         self.session, self.output = onnxruntime.InferenceSession(path, options), output
         self.inputs = {i.name for i in self.session.get_inputs()}
 
@@ -92,13 +96,15 @@ class Model:
     onnx_path: str | None = None
     output_tensor: str = "last_hidden_state"
     pad_output: bool = False
+    intra_threads: int = 1
+    inter_threads: int = 1
 
 
 @lru_cache(maxsize=8)
 def loaded(model: Model) -> tuple[object, object]:
     """Tokenizer and encoder of a model, opened on first use in a worker."""
     tokenizer = FileTokenizer(model.tokenizer_path, model.max_length, model.pad_output) if model.tokenizer_path else CodepointTokenizer(model.max_length)
-    encoder = OnnxEncoder(model.onnx_path, model.output_tensor) if model.onnx_path else ResidueEncoder(model.dim)
+    encoder = OnnxEncoder(model.onnx_path, model.output_tensor, model.intra_threads, model.inter_threads) if model.onnx_path else ResidueEncoder(model.dim)
     return tokenizer, encoder
 
 

@@ -1,7 +1,9 @@
-"""Token columns: code-point tokenizer, truncation and padding, as column expressions."""
+"""Token columns: code-point tokenizer, truncation and padding."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,12 +17,32 @@ def truncate(ids: Column, max_length: int) -> Column:
     return F.slice(ids, 1, max_length)
 
 
+def encoded(texts: list[str | None], max_length: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, offsets): first id, each character's code point, last id, cut at ``max_length``."""
+    cut = [t or "" for t in texts] if max_length is None else [(t or "")[: max(0, max_length - 1)] for t in texts]
+    chars = np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    size = np.fromiter(map(len, cut), np.int64, len(cut))
+    lens = size + 2 if max_length is None else np.minimum(size + 2, max_length)
+    off = np.concatenate([[0], np.cumsum(lens)])
+    ids = np.full(int(off[-1]), LAST_ID, np.int64)
+    ids[off[:-1][lens > 0]] = FIRST_ID
+    at = np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)
+    ids[np.repeat(off[:-1] + 1, size) + at] = chars
+    return ids, off
+
+
 def codepoint_ids(text: Column, max_length: int | None = MAX_LENGTH) -> Column:
-    """First id, each character's code point, last id; null text is empty."""
-    chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    ids = F.transform(chars, lambda c: F.ascii(c).cast("long"))
-    out = F.concat(F.array(F.lit(FIRST_ID).cast("long")), ids, F.array(F.lit(LAST_ID).cast("long")))
-    return out if max_length is None else truncate(out, max_length)
+    """First id, each character's code point, last id; null text is empty.
+
+    One Arrow call for each batch of texts: an expression over characters makes a string of each.
+    """
+
+    @F.arrow_udf("array<long>")
+    def run(texts: pa.Array) -> pa.Array:
+        ids, off = encoded(texts.to_pylist(), max_length)
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids))
+
+    return run(text)
 
 
 def attention_mask(ids: Column) -> Column:

@@ -7,7 +7,8 @@ of the count, a norm summed in double and rounded once.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,12 +50,20 @@ def same_bytes(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-@F.pandas_udf(T.BinaryType())
-def to_f32_bytes(vectors: pd.Series) -> pd.Series:
-    """Little-endian float32 bytes."""
-    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+@F.arrow_udf(T.BinaryType())
+def to_f32_bytes(vectors: pa.Array) -> pa.Array:
+    """Little-endian float32 bytes: the vectors' own values, cut at other offsets."""
+    lens = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    data = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+    off = np.concatenate([[0], 4 * np.cumsum(lens)]).astype(np.int32)
+    out = pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(data)])
+    return pc.if_else(vectors.is_valid(), out, None)
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def from_f32_bytes(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def from_f32_bytes(data: pa.Array) -> pa.Array:
+    lens = pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = b"".join(x for x in data.to_pylist() if x) if data.offset or data.null_count else data.buffers()[2]
+    values = np.frombuffer(raw, "<f4", int(lens.sum()) // 4) if raw is not None and lens.sum() else np.zeros(0, "<f4")
+    off = np.concatenate([[0], np.cumsum(lens // 4)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(values), mask=data.is_null())

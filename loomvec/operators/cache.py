@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomvec.operators.embed import text_key
+
 # Bytes that each cache entry costs beside key and value, and cache size limits.
 ENTRY_COST = 48
 MIN_CACHE, MAX_CACHE, UNKNOWN_RAM_CACHE = 64 * 1024**2, 500 * 1024**2, 100 * 1024**2
@@ -24,9 +26,10 @@ def entry_bytes(key: Column, value_bytes: Column) -> Column:
 
 
 def split_by_cache(df: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``hit``: whether the cache table holds the row's key."""
-    known = cache.select(*keys).distinct().withColumn("hit", F.lit(True))
-    return df.join(known, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    """Adds ``hit``: whether the cache table holds the row's key (strings); digests of keys meet, not texts."""
+    key = text_key(*map(F.col, keys)).alias("__key")
+    known = cache.select(key).distinct().withColumn("hit", F.lit(True))
+    return df.withColumn("__key", key).join(known, "__key", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).drop("__key")
 
 
 def unbounded_hits(log: DataFrame, keys: list[str], command: str) -> DataFrame:
@@ -74,7 +77,7 @@ class ByteLru:
 
 
 def simulate_lru(log: DataFrame, shard: str, seq: str, key: str, value_bytes: str, budget: int) -> DataFrame:
-    """Adds ``hit`` and ``evictions`` (so far) per row; one cache per shard, rows in ``seq`` order.
+    """Adds ``hit``, and ``evictions``, ``entries`` and ``used`` bytes after each row; one cache per shard, rows in ``seq`` order.
 
     The log streams through each task in sorted batches; memory is bounded by the budget.
     """
@@ -84,28 +87,47 @@ def simulate_lru(log: DataFrame, shard: str, seq: str, key: str, value_bytes: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, lru = None, ByteLru(budget)
         for batch in batches:
-            hits, evicted = [], []
+            hits, after = [], []
             for s, k, v in zip(batch[shard], batch[key], batch[value_bytes], strict=True):
                 if s != now:
                     now, lru = s, ByteLru(budget)
                 hits.append(lru.get(k))
                 if not hits[-1]:
                     lru.put(k, int(v))
-                evicted.append(lru.evictions)
-            yield batch.assign(hit=hits, evictions=evicted)
+                after.append((lru.evictions, len(lru.entries), lru.used))
+            yield batch.assign(hit=hits, evictions=[a[0] for a in after], entries=[a[1] for a in after], used=[a[2] for a in after])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema)
-    return cols.repartition(n, shard).sortWithinPartitions(shard, seq).mapInPandas(run, f"{kinds}, hit boolean, evictions long")
+    return cols.repartition(n, shard).sortWithinPartitions(shard, seq).mapInPandas(run, f"{kinds}, hit boolean, evictions long, entries long, used long")
+
+
+def cache_totals(log: DataFrame, key: str, seq: str, value_bytes: Column, budget: int) -> DataFrame:
+    """One row of a server's cache after a log: hits, misses, evictions, entries, max_bytes, memory_bytes.
+
+    While all keys together fit the budget nothing is ever evicted, and sums over the keys
+    say it all. Else the log streams through the simulator, in one task by its nature.
+    """
+    rows = log.select(F.col(key).alias("key"), F.col(seq).alias("seq"), value_bytes.cast("long").alias("bytes"))
+    seen = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes"))
+    sums = seen.agg(F.sum("n").alias("n"), F.count("*").alias("entries"), F.sum(entry_bytes(F.col("key"), F.col("bytes"))).alias("used"))
+    limit = F.lit(budget).cast("long").alias("max_bytes")
+    if (sums.first().used or 0) <= budget:
+        zero = F.lit(0).cast("long")
+        return sums.select(F.coalesce(F.col("n") - F.col("entries"), zero).alias("hits"), F.col("entries").alias("misses"), zero.alias("evictions"), "entries", limit, F.coalesce("used", zero).alias("memory_bytes"))
+    ran = simulate_lru(rows.withColumn("cache", F.lit(0)), "cache", "seq", "key", "bytes", budget)
+    last = F.max_by(F.struct("evictions", "entries", "used"), "seq")
+    ended = ran.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), last.alias("last"))
+    return ended.select("hits", "misses", "last.evictions", "last.entries", limit, F.col("last.used").alias("memory_bytes"))
 
 
 # Decimal units of a human-readable size.
-UNITS = {"b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "tb": 10**12, "pb": 10**15, "k": 10**3, "m": 10**6, "g": 10**9, "t": 10**12, "p": 10**15, "": 1}
+UNITS = {"": 1, "k": 10**3, "m": 10**6, "g": 10**9, "t": 10**12, "p": 10**15}
 
 
 def parse_size(size: Column, auto: Column) -> Column:
-    """Bytes of ``512MB`` and the like; empty is 0 (off), ``auto`` is ``auto``, anything else null."""
+    """Bytes of ``512MB``, ``64KiB`` and the like, all in decimal units; empty is 0 (off), ``auto`` is ``auto``, anything else null."""
     s = F.lower(F.trim(size))
-    pattern = r"^([0-9]+(?:\.[0-9]+)?) ?([kmgtp]?i?b?)$"
+    pattern = r"^([0-9]+(?:\.[0-9]+)?) ?(?:([kmgtp])(?:ib|b)?|b)?$"
     unit = F.regexp_extract(s, pattern, 2)
     factor = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
     number = F.regexp_extract(s, pattern, 1).try_cast("double")

@@ -54,3 +54,19 @@ def resolve(configs: DataFrame, outputs: DataFrame, strict: bool = False) -> Dat
         F.when(F.col("batch_timeout_ms") < 0, 1).otherwise(F.coalesce("batch_timeout_ms", F.lit(0))).cast("long").alias("batch_timeout_ms"),
         F.coalesce(positive("max_batch"), F.lit(DEFAULTS["max_batch"])).cast("long").alias("max_batch"),
     )
+
+
+def upsert(catalog: DataFrame, changes: DataFrame) -> DataFrame:
+    """The catalog with rows added, or put in place of those of the same name; one row of each name in ``changes``."""
+    return catalog.join(F.broadcast(changes.select("name")), "name", "left_anti").unionByName(changes)
+
+
+def with_status(catalog: DataFrame, log: DataFrame, model: str = "model") -> DataFrame:
+    """Adds ``status``: ready once a request has loaded the model, else registered."""
+    used = log.select(F.col(model).alias("name")).distinct().withColumn("status", F.lit("ready"))
+    return catalog.join(used, "name", "left").withColumn("status", F.coalesce("status", F.lit("registered")))
+
+
+def loaded_counts(catalog: DataFrame) -> DataFrame:
+    """One row: models in all and loaded ones, of a catalog with a status."""
+    return catalog.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "ready").alias("loaded"))

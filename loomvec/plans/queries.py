@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,7 +18,7 @@ from loomvec.functions import tokens as T
 from loomvec.functions import vectors as V
 from loomvec.functions.models import Model, ResidueEncoder, loaded
 from loomvec.operators import batching, cache, commands, stats
-from loomvec.operators.embed import dedup_then_embed, embed, embed_multi, exploded, lookup
+from loomvec.operators.embed import collected, dedup_then_embed, embed, embed_cached, embed_commands, embed_multi, exploded, lookup, not_found
 from loomvec.plans import catalog
 from loomvec.sources import files
 
@@ -92,16 +92,16 @@ def pad_output(spark, sf_dir):
 
 @query()
 def tokenize_file(spark, sf_dir):
-    """Ids of a tokenizer file; the library itself is the test's oracle."""
+    """Ids of a tokenizer file; a test holds them against the tokenizers library."""
     import public_tokenizers
 
     model = Model("file", tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), max_length=128)
 
-    @F.pandas_udf("array<long>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<long>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            flat, off = loaded(model)[0].encode(texts.tolist())
-            yield pd.Series([flat[a:b] for a, b in zip(off[:-1], off[1:], strict=True)])
+            flat, off = loaded(model)[0].encode(texts.to_pylist())
+            yield pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))
 
     return read(spark, sf_dir, "documents").select("doc_id", ids("text").alias("ids")).select("doc_id", F.size("ids").alias("n_ids"), digest(F.col("ids")).alias("ids_md5"))
 
@@ -129,9 +129,13 @@ def encode_mock(spark, sf_dir):
     """Totals of the stand-in model's token values, per dimension."""
     docs = read(spark, sf_dir, "documents").select("doc_id", T.codepoint_ids(F.col("text")).alias("ids"))
 
-    @F.pandas_udf("array<long>")
-    def totals(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: ResidueEncoder(8).token_vectors(np.asarray(x)).sum(axis=0).astype("int64"))
+    @F.arrow_udf("array<long>")
+    def totals(ids: pa.Array) -> pa.Array:
+        off = ids.offsets.to_numpy()
+        values = ResidueEncoder(8).token_vectors(ids.values.to_numpy()[: off[-1]]).astype(np.int64)
+        sums = np.vstack([np.zeros((1, 8), np.int64), np.cumsum(values, axis=0)])
+        rows = sums[off[1:]] - sums[off[:-1]]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * 8, pa.int32()), pa.array(rows.ravel()))
 
     return docs.select("doc_id", F.posexplode(totals("ids")).alias("dim", "total"))
 
@@ -253,15 +257,63 @@ def pairs_equal_single(spark, sf_dir):
     return single.agg(F.count("*").alias("n"), F.count_if(V.same_bytes(V.to_f32_bytes("embedding"), V.to_f32_bytes("alone"))).alias("n_same"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN 'ok' ELSE 'ERR unknown model ' || coalesce(role, '') END AS status FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN 'ok' ELSE 'ERR model ''' || coalesce(role, '') || ''' not found' END AS status FROM conversations")
 def model_lookup(spark, sf_dir):
     out = lookup(read(spark, sf_dir, "conversations"), _catalog(spark), "role")
-    return out.select("conv_id", "turn", F.when(F.col("registered"), "ok").otherwise(F.concat(F.lit("ERR unknown model "), F.coalesce("role", F.lit("")))).alias("status"))
+    return out.select("conv_id", "turn", F.when(F.col("registered"), "ok").otherwise(not_found(F.col("role"))).alias("status"))
+
+
+# --- commands
+
+
+_COMMAND_ROWS = """
+SELECT doc_id, doc_id // 32 AS command, CASE WHEN doc_id // 32 % 5 = 0 THEN 'missing' ELSE 'raw' END AS model, CASE WHEN doc_id % 320 <> 70 THEN text END AS text FROM documents
+"""
+
+
+def _command_rows(spark, sf_dir) -> DataFrame:
+    """Documents as commands of 32 texts; every fifth names a model that is not there, some have a null text."""
+    command = F.expr("doc_id div 32")
+    return read(spark, sf_dir, "documents").select("doc_id", command.alias("command"), F.when(command % 5 == 0, "missing").otherwise("raw").alias("model"), F.when(F.col("doc_id") % 320 != 70, F.col("text")).alias("text"))
+
+
+@query(f"""
+WITH r AS ({_COMMAND_ROWS}),
+e AS (SELECT command, count(*) AS n, arg_min(CASE WHEN model = 'missing' THEN 'ERR model ''missing'' not found' WHEN text IS NULL THEN 'ERR text is null' END, doc_id)
+      FILTER (WHERE model = 'missing' OR text IS NULL) AS error FROM r GROUP BY command)
+SELECT command, n, error, CASE WHEN error IS NULL THEN n ELSE 0 END AS n_vectors FROM e
+""")
+def command_errors(spark, sf_dir):
+    """A command is all or nothing: one bad row's error is the command's."""
+    out = embed_commands(_command_rows(spark, sf_dir), [RAW], "command", "doc_id")
+    return out.groupBy("command").agg(F.count("*").alias("n"), F.first("error").alias("error"), F.count("embedding").alias("n_vectors"))
+
+
+@query(f"""
+WITH e AS (SELECT doc_id, doc_id // 32 AS command, v FROM ({_pooled('documents', 'doc_id')}))
+SELECT command, (row_number() OVER (PARTITION BY command ORDER BY doc_id) - 1)::INT AS pos, v[1]::DOUBLE AS first_value FROM e
+""")
+def command_vectors(spark, sf_dir):
+    """Each command's vectors back in the order of its texts."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 32").alias("command"), "text")
+    out = collected(embed(docs, RAW), "command", "doc_id", "embedding")
+    return out.select("command", F.posexplode("vectors").alias("pos", "v")).select("command", "pos", F.get("v", F.lit(0)).cast("double").alias("first_value"))
 
 
 # --- cache
 
 
+_OLD = "SELECT text, any_value(v) AS v FROM (SELECT text, list_transform(v, lambda x: (x * 2::FLOAT)::FLOAT) AS v FROM documents JOIN (" + _pooled("documents", "doc_id") + ") USING (doc_id) WHERE source = 'src0') GROUP BY text"
+
+
+@query(_rows("doc_id, hit", "v", f"SELECT doc_id, o.v IS NOT NULL AS hit, coalesce(o.v, p.v) AS v FROM documents d JOIN ({_pooled('documents', 'doc_id')}) p USING (doc_id) LEFT JOIN ({_OLD}) o ON o.text = d.text"))
+def embed_with_cache(spark, sf_dir):
+    """Texts of one source come from the cache (marked by doubled values), the rest is encoded; places are kept."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    old = embed(docs.where("source = 'src0'"), RAW).withColumns({"model": F.lit(RAW.name), "embedding": F.transform("embedding", lambda x: (x * F.lit(2.0).cast("float")).cast("float"))})
+    return exploded(embed_cached(docs, old, RAW), ["doc_id", "hit"])
+
+
 @query("""
 WITH h AS (SELECT event_type, min(event_id) OVER (PARTITION BY event_type, user_id) < event_id AS hit FROM events)
 SELECT event_type, count_if(hit) AS hits, count_if(NOT hit) AS misses FROM h GROUP BY event_type
@@ -325,14 +377,14 @@ def lru_simulate(spark, sf_dir):
     return out.select("event_type", "event_id", "hit")
 
 
-SIZES = ["", "512MB", "1.5gb", "64 KB", "invalid", "auto", "0", "12", "-5MB", "7tb"]
+SIZES = ["", "512MB", "1.5gb", "64 KB", "invalid", "auto", "0", "12", "-5MB", "7tb", "64KiB", "1GiB", "2 m", "12ib", "3p", "9 B"]
 _SIZES = ", ".join(f"('{s}')" for s in SIZES)
 
 
 @query(f"""
 WITH t(s) AS (VALUES {_SIZES}),
-p AS (SELECT s, regexp_extract(lower(trim(s)), '^([0-9]+(?:\\.[0-9]+)?) ?([kmgt]?b?)$', ['n', 'u']) AS x FROM t),
-v AS (SELECT s, (try_cast(x.n AS DOUBLE) * CASE left(x.u, 1) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'g' THEN 1e9 WHEN 't' THEN 1e12 ELSE 1 END)::BIGINT AS b FROM p)
+p AS (SELECT s, regexp_extract(lower(trim(s)), '^([0-9]+(?:\\.[0-9]+)?) ?(b|[kmgtp](?:b|ib)?)?$', ['n', 'u']) AS x FROM t),
+v AS (SELECT s, (try_cast(x.n AS DOUBLE) * CASE left(x.u, 1) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'g' THEN 1e9 WHEN 't' THEN 1e12 WHEN 'p' THEN 1e15 ELSE 1 END)::BIGINT AS b FROM p)
 SELECT s AS size, CASE WHEN s = '' THEN 0 WHEN s = 'auto' THEN 524288000 WHEN b > 0 THEN b END::BIGINT AS bytes FROM v
 """)
 def parse_size(spark, sf_dir):
@@ -433,17 +485,49 @@ def stats_with_cache(spark, sf_dir):
     return stats.per_model(cache.unbounded_hits(_log(spark, sf_dir), ["model", "user_id"], "event_id").where(~F.col("hit")))
 
 
+BUDGET = 500 * 10**6
+_HIT_LOG = f"SELECT *, min(event_id) OVER (PARTITION BY model, user_id) < event_id AS hit FROM ({_LOG})"
+_TOTALS = f"""SELECT count_if(hit) AS hits, count_if(NOT hit) AS misses, sum(CASE WHEN NOT hit THEN octet_length(encode(model || ':' || user_id)) + 32 + 48 END)::BIGINT AS used FROM ({_HIT_LOG})"""
+_SERVED = "SELECT DISTINCT event_type AS name, 8 * length(event_type) AS dim, 128 AS max_length, 4 AS workers, 'mean' AS pooling, event_type < 'k' AS normalize, length(event_type) % 3 AS timeout, 32 AS max_batch FROM events"
+
+
+def _cache_totals(spark, sf_dir) -> DataFrame:
+    log = _log(spark, sf_dir).withColumn("key", cache.cache_key(F.col("model"), F.col("user_id").cast("string")))
+    return cache.cache_totals(log, "key", "event_id", F.lit(4 * MODEL.dim), BUDGET)
+
+
+def _served(spark, sf_dir) -> DataFrame:
+    """The event log's models with settings that follow from their names."""
+    name = F.col("event_type")
+    out = read(spark, sf_dir, "events").select(name.alias("name")).distinct()
+    return out.select("name", (8 * F.length("name")).alias("dim"), F.lit(128).alias("max_length"), F.lit(4).alias("workers"), F.lit("mean").alias("pooling"), (F.col("name") < "k").alias("normalize"), (F.length("name") % 3).alias("batch_timeout_ms"), F.lit(32).alias("max_batch"))
+
+
+def _counters(spark, sf_dir) -> DataFrame:
+    return stats.per_model(cache.unbounded_hits(_log(spark, sf_dir), ["model", "user_id"], "event_id").where(~F.col("hit")))
+
+
+@query(f"SELECT hits, misses, 0::BIGINT AS evictions, misses AS entries, {BUDGET}::BIGINT AS max_bytes, used AS memory_bytes FROM ({_TOTALS})")
+def cache_totals(spark, sf_dir):
+    return _cache_totals(spark, sf_dir)
+
+
 @query(f"""
-WITH m AS ({_PER_MODEL.format(_LOG)}),
-l AS (SELECT *, model || ': req=' || requests || ' avg=' || avg_latency_us || 'us tok=' || tokens || ' err=' || errors || ' mem=0mb pool=mean norm=true' AS line FROM m),
-t AS (SELECT sum(requests) AS r, sum(tokens) AS k, sum(errors) AS e, count(*) AS n, string_agg(line, ' | ' ORDER BY line) AS s FROM l)
+WITH m AS ({_PER_MODEL.format(_MISSES)}),
+l AS (SELECT m.*, model || ': req=' || requests || ' avg=' || avg_latency_us || 'us tok=' || tokens || ' err=' || errors || ' mem=0mb pool=mean norm=' || normalize
+             || CASE WHEN timeout > 0 THEN ' batch=' || timeout || '/' || max_batch ELSE '' END AS line FROM m JOIN ({_SERVED}) s ON s.name = m.model),
+t AS (SELECT sum(requests) AS r, sum(tokens) AS k, sum(errors) AS e, count(*) AS n, string_agg(line, ' | ' ORDER BY line) AS s FROM l),
+u AS (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS up FROM events)
 SELECT unnest(['uptime_secs', 'total_requests', 'active_requests', 'total_tokens', 'total_errors', 'models_loaded', 'per_model', 'cache_hits', 'cache_misses', 'cache_evictions']) AS key,
-       unnest(['0', r::VARCHAR, '0', k::VARCHAR, e::VARCHAR, n::VARCHAR, s, '0', '0', '0']) AS value FROM t
+       unnest([up::VARCHAR, r::VARCHAR, '0', k::VARCHAR, e::VARCHAR, n::VARCHAR, s, c.hits::VARCHAR, c.misses::VARCHAR, '0']) AS value FROM t, u, ({_TOTALS}) c
 """)
 def server_stats(spark, sf_dir):
-    models = stats.per_model(_log(spark, sf_dir)).withColumn("line", stats.stats_line(F.lit("mean"), F.lit("true")))
-    zero = F.lit(0)
-    return stats.server_stats(models, zero, zero, zero, zero)
+    """Totals of the models that the log's misses reached, the log's span as uptime, and the cache's counters."""
+    settings = _served(spark, sf_dir).withColumnRenamed("name", "model")
+    line = stats.stats_line(F.col("pooling"), F.col("normalize").cast("string"), F.col("batch_timeout_ms"), F.col("max_batch"))
+    models = _counters(spark, sf_dir).join(F.broadcast(settings), "model").withColumn("line", line)
+    uptime = stats.uptime_secs(read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts")), "ts")
+    return stats.server_stats(models, uptime, _cache_totals(spark, sf_dir))
 
 
 # --- catalog and introspection
@@ -477,23 +561,44 @@ def pooling_for_rank(spark, sf_dir):
     return spark.createDataFrame([(2,), (3,), (4,)], "rank int").select("rank", catalog.pooling_for_rank(F.col("rank")).alias("pooling"))
 
 
-@query("SELECT * FROM (VALUES ('a', 256::BIGINT), ('b', NULL), ('c', NULL), ('d', NULL)) t(name, max_length)")
+_CONFIGS = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in CONFIGS)
+_CONFIG_ROWS = f"SELECT * FROM (VALUES {_CONFIGS}) c(name, max_length, dim, output_tensor, pooling, normalize, batch_timeout_ms, max_batch, config_json)"
+_FILE_LENGTH = "try_cast(json_extract_string(CASE WHEN json_valid(config_json) THEN config_json END, '$.max_position_embeddings') AS BIGINT)"
+
+
+@query(f"SELECT name, CASE WHEN {_FILE_LENGTH} > 0 THEN {_FILE_LENGTH} END AS max_length FROM ({_CONFIG_ROWS})")
 def infer_max_length(spark, sf_dir):
     return spark.createDataFrame(CONFIGS, CONFIG_SCHEMA).select("name", catalog.max_length_of(F.col("config_json")).alias("max_length"))
 
 
-@query("""
-SELECT * FROM (VALUES
-  ('a', 256::BIGINT, 384::BIGINT, 'pooler_output', 'none', false, 0::BIGINT, 32::BIGINT),
-  ('b', 64, 16, 'last_hidden_state', 'mean', true, 1, 32),
-  ('c', 512, 10, 'y', 'mean', false, 3, 7),
-  ('d', 512, 0, 'last_hidden_state', 'mean', false, 0, 32)
-) t(name, max_length, dim, output_tensor, pooling, normalize, batch_timeout_ms, max_batch)
+@query(f"""
+WITH o(model, name, rank, dim) AS (VALUES {_OUTPUTS}),
+a AS (SELECT model, arg_min(name, CASE rank WHEN 2 THEN '0' WHEN 3 THEN '1' ELSE '2' END || name) AS name FROM o GROUP BY model),
+j AS (
+  SELECT c.*, coalesce(mine.name, best.name) AS tensor, coalesce(mine.rank, best.rank) AS rank, coalesce(mine.dim, best.dim) AS file_dim
+  FROM ({_CONFIG_ROWS}) c LEFT JOIN o mine ON mine.model = c.name AND mine.name = c.output_tensor
+  LEFT JOIN a ON a.model = c.name LEFT JOIN o best ON best.model = a.model AND best.name = a.name
+)
+SELECT name, coalesce(CASE WHEN max_length > 0 THEN max_length END, CASE WHEN {_FILE_LENGTH} > 0 THEN {_FILE_LENGTH} END, 512)::BIGINT AS max_length,
+       coalesce(CASE WHEN dim > 0 THEN dim END, file_dim, 0)::BIGINT AS dim, coalesce(tensor, 'last_hidden_state') AS output_tensor,
+       coalesce(pooling, CASE rank WHEN 2 THEN 'none' ELSE 'mean' END) AS pooling, coalesce(normalize::BOOLEAN, false) AS normalize,
+       CASE WHEN batch_timeout_ms < 0 THEN 1 ELSE coalesce(batch_timeout_ms, 0) END::BIGINT AS batch_timeout_ms,
+       coalesce(CASE WHEN max_batch > 0 THEN max_batch END, 32)::BIGINT AS max_batch FROM j
 """)
 def catalog_resolve(spark, sf_dir):
     return catalog.resolve(spark.createDataFrame(CONFIGS, CONFIG_SCHEMA), _outputs(spark))
 
 
+@query(f"""
+SELECT name, coalesce(CASE WHEN name = 'c' THEN 99 WHEN max_length > 0 THEN max_length END, 0)::BIGINT AS max_length FROM ({_CONFIG_ROWS})
+UNION ALL SELECT 'e', 5
+""")
+def catalog_upsert(spark, sf_dir):
+    """A model's new settings replace the old ones; a new model is added."""
+    old = spark.createDataFrame(CONFIGS, CONFIG_SCHEMA).select("name", F.coalesce(F.when(F.col("max_length") > 0, F.col("max_length")), F.lit(0).cast("long")).alias("max_length"))
+    return catalog.upsert(old, spark.createDataFrame([("c", 99), ("e", 5)], "name string, max_length long"))
+
+
 LISTINGS = [
     ("r1", ["config.json", "onnx/model.onnx", "model.onnx"]),
     ("r2", ["onnx/model.onnx", "a.onnx"]),
@@ -502,7 +607,14 @@ LISTINGS = [
 ]
 
 
-@query("SELECT * FROM (VALUES ('r1', 'model.onnx'), ('r2', 'onnx/model.onnx'), ('r3', 'b.onnx')) t(repo, path)")
+_LISTINGS = ", ".join(f"('{r}', {names})" for r, names in LISTINGS)
+
+
+@query(f"""
+WITH f AS (SELECT repo, unnest(files) AS path FROM (VALUES {_LISTINGS}) t(repo, files))
+SELECT repo, coalesce(max(path) FILTER (WHERE path = 'model.onnx'), max(path) FILTER (WHERE path = 'onnx/model.onnx'), min(path)) AS path
+FROM f WHERE ends_with(path, '.onnx') GROUP BY repo
+""")
 def repo_file_pick(spark, sf_dir):
     import json
 
@@ -510,35 +622,38 @@ def repo_file_pick(spark, sf_dir):
     return files.pick_model_file(spark.createDataFrame(rows, "repo string, json string"))
 
 
-@query("SELECT * FROM (VALUES ('assistant', 8::INT, 'ready'), ('user', 8, 'ready')) t(name, dim, status)")
-def models(spark, sf_dir):
-    return _catalog(spark).select("name", "dim", F.lit("ready").alias("status"))
+_STATUS = """SELECT m.name, m.dim, CASE WHEN m.name IN (SELECT role FROM conversations) THEN 'ready' ELSE 'registered' END AS status
+FROM (VALUES ('user', 8::INT), ('assistant', 8), ('narrator', 16)) m(name, dim)"""
 
 
-@query("SELECT 2::BIGINT AS total, 2::BIGINT AS loaded")
-def models_loaded(spark, sf_dir):
-    return _catalog(spark).agg(F.count("*").alias("total"), F.count_if(F.col("dim") > 0).alias("loaded"))
+def _with_status(spark, sf_dir) -> DataFrame:
+    """The roles' models and one that no turn asks for, with their states."""
+    known = catalog.upsert(_catalog(spark).select("name", "dim"), spark.createDataFrame([("narrator", 16)], "name string, dim int"))
+    return catalog.with_status(known, read(spark, sf_dir, "conversations"), "role")
 
 
-@query("""
-SELECT model, unnest(['dim', 'max_length', 'pooling', 'normalize']) AS key, unnest(v) AS value
-FROM (VALUES ('user', ['8', '128', 'mean', 'true']), ('assistant', ['8', '64', 'mean', 'false'])) t(model, v)
-""")
-def info(spark, sf_dir):
-    return stats.model_info(_catalog(spark), ["dim", "max_length", "pooling", "normalize"])
-
-
-_HELP = ", ".join(f"('{k}', '{v}')" for k, v in commands.HELP.items())
+@query(_STATUS)
+def models(spark, sf_dir):
+    return _with_status(spark, sf_dir).select("name", "dim", "status")
 
 
-@query(f"SELECT * FROM (VALUES {_HELP}) t(command, line)")
-def help_lines(spark, sf_dir):
-    return spark.createDataFrame(list(commands.HELP.items()), "command string, line string")
+@query(f"SELECT count(*) AS total, count_if(status = 'ready') AS loaded FROM ({_STATUS})")
+def models_loaded(spark, sf_dir):
+    return catalog.loaded_counts(_with_status(spark, sf_dir))
 
 
-@query("SELECT 'PONG' AS reply")
-def ping(spark, sf_dir):
-    return spark.range(1).select(F.lit("PONG").alias("reply"))
+@query(f"""
+WITH m AS ({_PER_MODEL.format(_MISSES)})
+SELECT s.name AS model,
+       unnest(['dim', 'max_length', 'workers', 'requests', 'avg_latency_us', 'tokens', 'errors', 'pooling', 'normalize', 'batching_timeout_ms', 'batching_max_batch', 'cache_hits', 'cache_misses',
+               'cache_hit_rate', 'cache_evictions', 'cache_entries', 'cache_max_bytes', 'cache_memory_bytes']) AS key,
+       unnest([s.dim::VARCHAR, s.max_length::VARCHAR, s.workers::VARCHAR, m.requests::VARCHAR, m.avg_latency_us::VARCHAR, m.tokens::VARCHAR, m.errors::VARCHAR, s.pooling, s.normalize::VARCHAR,
+               s.timeout::VARCHAR, s.max_batch::VARCHAR, c.hits::VARCHAR, c.misses::VARCHAR, printf('%.1f%%', c.hits * 100 / (c.hits + c.misses)), '0', c.misses::VARCHAR, '{BUDGET}', c.used::VARCHAR]) AS value
+FROM ({_SERVED}) s JOIN m ON m.model = s.name, ({_TOTALS}) c
+""")
+def info(spark, sf_dir):
+    """Eleven settings and counters of each model of the event log, and seven of the cache."""
+    return stats.model_info(_served(spark, sf_dir), _counters(spark, sf_dir), _cache_totals(spark, sf_dir))
 
 
 STATES = [("loading", 0), ("loading", 2), ("ready", 0), ("ready", 2), ("draining", 2)]
@@ -609,3 +724,34 @@ SELECT conv_id, turn, CASE WHEN text IS NULL THEN '$-1' || chr(13) || chr(10) WH
 def wire_encode(spark, sf_dir):
     kind = F.when(F.col("role") == "user", "status").otherwise("bulk")
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", files.wire_reply(kind, F.col("text")).alias("reply"))
+
+
+@query("""
+SELECT conv_id, CASE WHEN count(*) = 1 THEN any_value(b) ELSE '*' || count(*) || chr(13) || chr(10) || string_agg(b, '' ORDER BY turn) END AS reply
+FROM (SELECT conv_id, turn, CASE WHEN text IS NULL THEN '$-1' || chr(13) || chr(10) ELSE '$' || octet_length(encode(text)) || chr(13) || chr(10) || text || chr(13) || chr(10) END AS b FROM conversations)
+GROUP BY conv_id
+""")
+def wire_array(spark, sf_dir):
+    """The texts of a conversation as one reply: a bulk, or an array of them."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(turns, lambda t: t["text"]).alias("texts"))
+    return rows.select("conv_id", files.wire_texts(F.col("texts")).alias("reply"))
+
+
+_HELP = ", ".join(f"('{k}', '{v}')" for k, v in commands.HELP.items())
+
+
+@query(f"""
+SELECT h.command, h.line, count(c.event_id) AS uses FROM (VALUES {_HELP}) h(command, line)
+LEFT JOIN (SELECT event_id, lower(args[1]) AS command FROM ({_COMMANDS})) c USING (command) GROUP BY ALL
+""")
+def help_lines(spark, sf_dir):
+    """Each command's line of help and how often the log has it."""
+    lines = spark.createDataFrame(list(commands.HELP.items()), "command string, line string")
+    uses = commands.parsed(_commands(spark, sf_dir)).groupBy("command").agg(F.count("*").alias("uses"))
+    return lines.join(uses, "command", "left").fillna(0, ["uses"])
+
+
+@query(f"SELECT event_id, 'PONG' AS reply FROM ({_COMMANDS}) WHERE lower(args[1]) = 'ping'")
+def ping(spark, sf_dir):
+    return commands.parsed(_commands(spark, sf_dir)).where("command = 'ping'").select("event_id", F.lit("PONG").alias("reply"))

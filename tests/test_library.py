@@ -31,24 +31,28 @@ def one(df):
 
 
 def test_padding_fills_to_the_longest_of_a_batch(spark):
-    rows = [(0, [101, 200, 300, 102]), (0, [101, 400, 102]), (0, [101, 500, 600, 700, 102]), (1, [])]
-    out = T.pad_batches(spark.createDataFrame(rows, "batch int, ids array<long>"), "batch", "ids").orderBy("batch", F.size("ids")).collect()
-    assert [r.width for r in out] == [5, 5, 5, 0]
-    assert out[0].input_ids == [101, 400, 102, 0, 0] and out[0].attention_mask == [1, 1, 1, 0, 0] and out[3].input_ids == []
-
-
-@pytest.mark.parametrize(
-    ("hidden", "mask", "want"),
-    [
-        ([[1, 2, 3, 4], [5, 6, 7, 8]], [1, 1], [3, 4, 5, 6]),
-        ([[10, 20], [30, 40], [1000, 2000]], [1, 1, 0], [20, 30]),
-        ([[3, 3, 3], [0, 0, 0]], [1, 0], [3, 3, 3]),
-        ([[1, 1], [2, 2]], [0, 0], [0, 0]),
-    ],
-)
-def test_mean_pool(spark, hidden, mask, want):
-    df = spark.createDataFrame([([[float(x) for x in h] for h in hidden], mask)], "h array<array<float>>, m array<int>")
-    assert one(df.select(V.mean_pool(F.col("h"), F.col("m")))) == want
+    rng = np.random.default_rng(20)
+    rows = [(int(b), [int(x) for x in rng.integers(1, 900, int(n))]) for b, n in zip(rng.integers(0, 4, 25), rng.integers(0, 12, 25), strict=True)] + [(9, [])]
+    longest = {b: max(len(i) for c, i in rows if c == b) for b, _ in rows}
+    out = T.pad_batches(spark.createDataFrame(rows, "batch int, ids array<long>"), "batch", "ids").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        rest = longest[r.batch] - len(r.ids)
+        assert (r.width, r.input_ids, r.attention_mask) == (longest[r.batch], r.ids + [0] * rest, [1] * len(r.ids) + [0] * rest)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mean_pool(spark, seed):
+    rng = np.random.default_rng(seed)
+    hidden = rng.integers(-40, 40, (6, 5)).astype(np.float32)
+    mask = rng.integers(0, 2, 6) if seed else np.zeros(6, int)
+    total, n = np.zeros(5, np.float32), int(mask.sum())
+    for row, m in zip(hidden, mask, strict=True):
+        if m:
+            total = total + row
+    want = total * (np.float32(1) / np.float32(n)) if n else total * 0
+    df = spark.createDataFrame([(hidden.tolist(), mask.tolist())], "h array<array<float>>, m array<int>")
+    assert one(df.select(V.mean_pool(F.col("h"), F.col("m")))) == want.tolist()
 
 
 @pytest.mark.parametrize(("v", "want"), [([3, 0, 4], [0.6, 0, 0.8]), ([0, 0, 0], [0, 0, 0]), ([1, 2, 3, 4, 5], None)])
@@ -134,7 +138,26 @@ def test_client(spark):
     got = c.multi([("a", "x"), ("none", "x"), ("b", "x"), ("a", "x")])
     assert got[0] == c["a"]["x"] == got[3] and got[1] is None and got[2] == c["b"]["x"]
     assert c.ping() == "PONG" and c.is_ready() and not Client(spark, []).is_ready() and len(c.help()) == 9
-    assert [r.name for r in c.models().collect()] == ["a", "b"] and c.info("b")["normalize"] is False
+    assert [tuple(r) for r in c.models().collect()] == [("a", 4, "ready"), ("b", 8, "ready")] and c.info("b")["normalize"] is False and c.info("none") == {}
+    assert c.stats()["total_requests"] == sum(c.info(m)["requests"] for m in "ab") and c.stats()["models_loaded"] == 2
+    proxy = c["a"]
+    c.reset()
+    assert c["a"] is not proxy and c.ready() == "ready" and Client(spark, []).ready() == "no models"
+    assert [tuple(r) for r in Client(spark, [M.Model("a", 4)]).models().collect()] == [("a", 4, "registered")]
+
+
+def test_raw_commands(spark, capsys):
+    c = Client(spark, [M.Model("a", 4)], debug=True)
+    assert c.command("EMBED", "a", "x", "y") == c["a"]["x", "y"] and "embed a (2 texts" in capsys.readouterr().out
+    assert c.command("embed.multi", "a", "x", "no", "x")[1] is None and c.command("Ping") == "PONG" and c.command("ready") == "ready"
+    assert c.command("embed", "no", "x") == "ERR model 'no' not found" == c.command("info", "no")
+    assert c.command("embed", "a").startswith("ERR wrong number") and c.command("embed.multi", "a").startswith("ERR wrong number") and c.command("x").startswith("ERR unknown")
+    assert c.command("info", "a")["dim"] == 4 and c.command("models") == [("a", 4, "ready")] and len(c.command("help")) == 9 and "uptime_secs" in c.command("stats")
+
+
+def test_connecting(spark, monkeypatch):
+    monkeypatch.setenv("LOOMVEC_MASTER", "local[2]")  # a running session is used again
+    assert Client.connect([M.Model("a", 4)]).spark.version == spark.version
 
 
 def test_collected_keeps_positions(spark):
@@ -142,29 +165,81 @@ def test_collected_keeps_positions(spark):
     assert embed.collected(df, "c", "p", "v").first().vectors == [[0.0], None, [2.0]]
 
 
-def test_lru_worked_example():
-    lru = cache.ByteLru(200)
-    for i in range(20):
-        lru.put(f"k:{i}", 1)
-    assert (len(lru.entries), lru.evictions) == (3, 17)
-    assert lru.get("k:19") and not lru.get("k:0")
-    lru.put("k:19", 1000)  # overwriting never evicts
-    assert len(lru.entries) == 3 and lru.used > 200
-    lru.put("big", 10_000)  # over the budget: empties the cache and is stored
-    assert list(lru.entries) == ["big"]
+def test_lru_evicts_the_least_recent_until_an_entry_fits():
+    rng = np.random.default_rng(21)
+    budget, sizes = 700, rng.integers(1, 220, 300)
+    lru, order, kept, evicted = cache.ByteLru(budget), [], {}, 0
+    for size, k in zip(sizes.tolist(), rng.integers(0, 9, 300).tolist(), strict=True):
+        key = f"key{k}"
+        if size % 3 == 0:
+            assert lru.get(key) == (key in kept)
+            if key in kept:
+                order.remove(key)
+                order.append(key)
+            continue
+        cost = len(key) + size + cache.ENTRY_COST
+        if key in kept:  # overwriting never evicts
+            order.remove(key)
+        else:
+            while order and sum(kept.values()) + cost > budget:
+                del kept[order.pop(0)]
+                evicted += 1
+        kept[key] = cost
+        order.append(key)
+        lru.put(key, size)
+        assert (list(lru.entries), lru.used, lru.evictions) == (order, sum(kept.values()), evicted)
+    lru.put("large", 10 * budget)  # over the budget: empties the cache and is stored
+    assert list(lru.entries) == ["large"]
+
+
+def test_cache_totals_with_and_without_evictions(spark):
+    rng = np.random.default_rng(22)
+    log = [(i, f"k{int(rng.integers(30))}") for i in range(400)]
+    df = spark.createDataFrame(log, "seq long, k string")
+    for budget in (10**6, 900, 1):
+        lru, hits = cache.ByteLru(budget), 0
+        for _, k in log:
+            if lru.get(k):
+                hits += 1
+            else:
+                lru.put(k, 100)
+        got = cache.cache_totals(df, "k", "seq", F.lit(100), budget).first()
+        assert tuple(got) == (hits, 400 - hits, lru.evictions, len(lru.entries), budget, lru.used)
+    assert tuple(cache.cache_totals(df.limit(0), "k", "seq", F.lit(100), 9).first())[:4] == (0, 0, 0, 0)
+
+
+def test_cached_vectors_are_used_again_and_misses_are_added(spark):
+    m = M.Model("m", 4)
+    docs = spark.createDataFrame([(0, "a"), (1, "b"), (2, None), (3, "a"), (4, "")], "i int, text string")
+    empty = spark.createDataFrame([], "model string, text string, embedding array<float>")
+    first = embed.embed_cached(docs, empty, m)
+    plain = {r.i: r.embedding for r in embed.embed(docs, m).collect()}
+    assert {r.i: (r.hit, r.embedding) for r in first.collect()} == {i: (False, v) for i, v in plain.items()}
+    fresh = embed.misses_for_cache(first, m)
+    assert sorted(str(r.text) for r in fresh.collect()) == ["", "None", "a", "b"]
+    other = fresh.withColumns({"embedding": F.array(*[F.lit(9.0).cast("float")] * 4)}).where("text = 'a'").unionByName(fresh.withColumn("model", F.lit("x")))
+    again = {r.i: (r.hit, list(r.embedding)) for r in embed.embed_cached(docs, other, m).collect()}
+    assert again == {i: (i in (0, 3), [9.0] * 4 if i in (0, 3) else list(v)) for i, v in plain.items()}
+
+
+def test_a_bad_row_fails_its_command_alone(spark):
+    rows = [(1, 0, "m", "a"), (1, 1, "m", "b"), (2, 0, "m", "a"), (2, 1, "m", None), (2, 2, "no", "x"), (3, 0, "no", "a"), (4, 0, None, "a")]
+    out = embed.embed_commands(spark.createDataFrame(rows, "c int, p int, model string, text string"), [M.Model("m", 3)], "c", "p").collect()
+    errors = {1: None, 2: "ERR text is null", 3: "ERR model 'no' not found", 4: "ERR model '' not found"}
+    assert all(r.error == errors[r.c] and (r.embedding is None) == (r.c != 1) for r in out) and len(out) == len(rows)
 
 
 def test_lru_of_varied_sizes(spark):
     rng = np.random.default_rng(0)
     log = [("s" + str(i % 3), i, f"k{int(rng.integers(12))}", int(rng.integers(1, 90))) for i in range(500)]
-    got = {r.seq: (r.hit, r.evictions) for r in cache.simulate_lru(spark.createDataFrame(log, "s string, seq long, k string, b long"), "s", "seq", "k", "b", 400).collect()}
+    got = {r.seq: (r.hit, r.evictions, r.entries, r.used) for r in cache.simulate_lru(spark.createDataFrame(log, "s string, seq long, k string, b long"), "s", "seq", "k", "b", 400).collect()}
     for s in ("s0", "s1", "s2"):
         lru = cache.ByteLru(400)
         for _, i, k, b in [x for x in log if x[0] == s]:
             hit = lru.get(k)
             if not hit:
                 lru.put(k, b)
-            assert got[i] == (hit, lru.evictions)
+            assert got[i] == (hit, lru.evictions, len(lru.entries), lru.used)
 
 
 def test_repeats_inside_a_command_are_misses(spark):
@@ -179,20 +254,39 @@ def test_windows_close_by_count_and_by_time():
     assert [w.add(t)[0] for t in (0, 9, 10, 19, 20)] == [1, 1, 2, 2, 3]
 
 
-def test_stream_numbers_windows_like_the_batch(spark, tmp_path):
-    rng = np.random.default_rng(1)
-    rows = [("ab"[int(rng.integers(2))], i, 7 * i) for i in range(60)]
+def streamed(spark, tmp_path, parts, name, **settings):
+    """Rows of ``stream_windows`` over one file per trigger."""
     schema = "k string, seq long, at long"
-    for part in range(3):
-        spark.createDataFrame(rows[20 * part : 20 * part + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        if part == 0:
+    out = None
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if out is None:
             source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-            out = stream_windows(source, "k", "seq", "at", 30, 3).writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+            out = stream_windows(source, "k", "seq", "at", **settings).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
         out.processAllAvailable()
     out.stop()
-    got = sorted(tuple(r) for r in spark.table("windows").select("k", "seq", "window", "place").collect())
-    want = batching.microbatch_windows(spark.createDataFrame(rows, schema), "k", "seq", "at", 30, 3)
-    assert got == sorted(tuple(r) for r in want.select("k", "seq", "window", "place").collect())
+    return [tuple(r) for r in spark.table(name).select("k", "seq", "window", "place", "closed_by").collect()]
+
+
+def test_stream_windows_are_those_of_the_batch_over_many_arrow_batches(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [("ab"[int(rng.integers(2))], i, 7_000 * (i + 1)) for i in range(120)]
+    shuffled = [[rows[40 * p + int(i)] for i in rng.permutation(40)] for p in range(3)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:  # two late events of a third key let the watermark pass every window
+        got = streamed(spark, tmp_path, [*shuffled, [("z", 900, 10**10)], [("z", 901, 2 * 10**10)]], "windows", timeout_us=30_000, max_batch=3)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = batching.microbatch_windows(spark.createDataFrame(rows, "k string, seq long, at long"), "k", "seq", "at", 30_000, 3)
+    assert sorted(r[:4] for r in got if r[0] != "z") == sorted(tuple(r) for r in want.select("k", "seq", "window", "place").collect())
+    assert {r[4] for r in got} >= {"count", "arrival"}
+
+
+def test_a_stream_window_closes_by_time_alone(spark, tmp_path):
+    second = 10**6
+    parts = [[("a", 1, second), ("a", 2, 2 * second)], [("b", 3, 100 * second)], [("b", 4, 101 * second)]]
+    got = streamed(spark, tmp_path, parts, "timed", timeout_us=5 * second, max_batch=10)
+    assert sorted(r for r in got if r[0] == "a") == [("a", 1, 1, 1, "time"), ("a", 2, 1, 2, "time")]
 
 
 def test_stream_counters(spark, tmp_path):
@@ -249,6 +343,109 @@ def test_wire_round_trip(spark):
     assert files.read_reply(files.write_command("embed", "m", b"x"))[0] == [b"embed", b"m", b"x"]
 
 
+def test_flags(tmp_path):
+    p = tmp_path / "c.json"
+    p.write_text(json.dumps({"listen": ":1", "models": {"c": {"onnx": "c.onnx"}}}))
+    got = files.parse_flags(["-listen", ":9", "-model", "a", "-model-onnx", "a.onnx", "-dim", "8", "-normalize", "-model", "b", "-model-repo", "r/b", "-max-length", "64"])
+    assert got == {"listen": ":9", "models": {"a": {"onnx": "a.onnx", "dim": 8, "normalize": True}, "b": {"model_repo": "r/b", "max_length": 64}}}
+    assert files.parse_flags(["-model-onnx", "x"])["models"] == {"model": {"onnx": "x"}}
+    assert files.parse_flags(["-listen", ":9", "-config", str(p), "-cache", "auto"]) == {"listen": ":1", "models": {"c": {"onnx": "c.onnx"}}, "cache": "auto"}
+    for bad in ([], ["-listen"], ["-model", "a"], ["-nonsense"], ["stray"], ["-model-onnx", "x", "-tls-cert", "c"]):
+        with pytest.raises(ValueError):
+            files.parse_flags(bad)
+
+
+def test_files_of_a_configuration(spark, tmp_path):
+    (tmp_path / "m.onnx").write_bytes(b"")
+    (tmp_path / "config.json").write_text('{"max_position_embeddings": 77}')
+    config = {"models": {"a": {"onnx": str(tmp_path / "m.onnx"), "batching": {"timeout": -1}}, "b": {"model_repo": "r"}, "c": {"onnx": "/none.onnx", "tokenizer": "/none.json"}}}
+    assert [e.split(" file ")[0] for e in files.missing_files(config)] == ["model a: tokenizer", "model c: onnx", "model c: tokenizer"]
+    outputs = spark.createDataFrame([("a", "y", 2, 5)], "model string, name string, rank int, dim long")
+    got = {r.name: r for r in catalog.resolve(files.config_frame(spark, config), outputs).collect()}
+    assert (got["a"].max_length, got["a"].dim, got["a"].pooling, got["a"].batch_timeout_ms) == (77, 5, "none", 1) and got["b"].max_length == 512
+
+
+def test_memory_of_the_machine(monkeypatch):
+    import os
+
+    assert files.total_memory() > 2**28
+    monkeypatch.setattr(os, "sysconf", lambda name: (_ for _ in ()).throw(ValueError(name)))
+    assert files.total_memory() == 0
+
+
+# --- a model file
+
+
+def field(number, value):
+    """A protobuf field: a varint, or bytes."""
+
+    def varint(n):
+        return bytes([n & 127 | (128 if n > 127 else 0)]) + (varint(n >> 7) if n > 127 else b"")
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def tiny_model(path):
+    """A model of two outputs: each id as a float, (batch, token, 1), and their sum, (batch, 1); inputs in unusual order."""
+    attribute = lambda name, value, kind: field(5, field(1, name) + value + field(20, kind))
+    node = lambda op, inputs, output, extra=b"": field(1, b"".join(field(1, i) for i in inputs) + field(2, output) + field(4, op) + extra)
+    dims = lambda *sizes: field(2, b"".join(field(1, field(1, d) if isinstance(d, int) else field(2, d)) for d in sizes))
+    tensor = lambda number, name, kind, *sizes: field(number, field(1, name) + field(2, field(1, field(1, kind) + dims(*sizes))))
+    graph = node("Mul", ["input_ids", "attention_mask"], "real") + node("Cast", ["real"], "f", attribute("to", field(3, 1), 2))
+    graph += node("Unsqueeze", ["f"], "hidden", attribute("axes", field(8, 2), 7)) + node("ReduceSum", ["f"], "total", attribute("axes", field(8, 1), 7))
+    graph += field(2, "g") + tensor(11, "attention_mask", 7, "b", "t") + tensor(11, "input_ids", 7, "b", "t") + tensor(12, "hidden", 1, "b", "t", 1) + tensor(12, "total", 1, "b", 1)
+    path.write_bytes(field(1, 6) + field(7, graph) + field(8, field(1, "") + field(2, 11)))
+    return str(path)
+
+
+def test_model_file_runs_and_tells_its_outputs(spark, tmp_path):
+    path = tiny_model(tmp_path / "m.onnx")
+    assert files.model_tensors(path) == (["attention_mask", "input_ids"], [("hidden", 3, 1), ("total", 2, 1)])
+    assert catalog.select_output(files.outputs_frame(spark, {"m": path})).first()["name"] == "total"
+    texts = ["abc", "", None, "é" * 20, "z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    ids = [[101, *map(ord, t or ""), 102][:16] for t in texts]
+    mean = M.Model("m", 1, 16, onnx_path=path, output_tensor="hidden", normalize=False)
+    total = M.Model("t", 1, 16, pooling="none", onnx_path=path, output_tensor="total", normalize=False)
+    assert [r.embedding[0] for r in embed.embed(df, mean).orderBy("i").collect()] == pytest.approx([sum(x) / len(x) for x in ids])
+    assert [r.embedding[0] for r in embed.embed(df, total).orderBy("i").collect()] == [sum(x) for x in ids]
+    with pytest.raises(Exception, match="does not fit"):
+        embed.embed(df, M.Model("x", 1, 16, pooling="none", onnx_path=path, output_tensor="hidden")).collect()
+
+
+def test_tokenize_file_equals_the_library(spark):
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.tokenize_file(spark, SF).collect():
+        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=True).ids[:128]
+        assert (r.n_ids, r.ids_md5) == (len(ids), hashlib.md5(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_f32_bytes_equal_struct(spark):
+    import struct
+
+    rows = [(0, [1.5, -2.25, 1e-30]), (1, None), (2, []), (3, [float("inf")])]
+    df = spark.createDataFrame(rows, "i int, v array<float>")
+    out = df.select("i", "v", V.to_f32_bytes("v").alias("b")).select("i", "v", "b", V.from_f32_bytes("b").alias("w")).collect()
+    assert all(r.b == (None if r.v is None else struct.pack(f"<{len(r.v)}f", *r.v)) and r.w == r.v for r in out)
+
+
+def test_array_replies(spark):
+    values = [b"\0\1", None, b"x\r\n"]
+    assert files.read_reply(files.wire_bytes(values))[0] == values and files.read_reply(files.wire_bytes(values[:1]))[0] == values[0]
+    rows = spark.createDataFrame([(["a", None, "é"],), (["b"],), ([],)], "t array<string>")
+    got = [files.read_reply(r[0].encode())[0] for r in rows.select(files.wire_texts(F.col("t"))).collect()]
+    assert got == [[b"a", None, "é".encode()], b"b", []]
+
+
 # --- queries against their SQL
 
 
