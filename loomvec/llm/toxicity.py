@@ -120,6 +120,9 @@ def features(raw: np.ndarray, off: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     if len(raw) > 2:
         inside[1:-1] = odd[1:-1] & letter[:-2] & letter[2:]
         same[2:] = letter[2:] & (raw[2:] == raw[1:-1]) & (raw[1:-1] == raw[:-2])
+        first, end = off[:-1][np.diff(off) > 0], off[1:][np.diff(off) > 0]
+        inside[first] = inside[end - 1] = same[first] = False  # neighbours are of the same text
+        same[np.minimum(first + 1, end - 1)] = False
     letters = np.maximum(bytes_in(letter), 1)
     return np.stack(
         [
@@ -197,14 +200,10 @@ def _tree(b: np.ndarray, grad: np.ndarray, hess: np.ndarray) -> tuple[np.ndarray
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the least-squares non-decreasing fit (pool adjacent violators)."""
-    order = np.argsort(x, kind="stable")
+    at, which = np.unique(x, return_inverse=True)  # equal values are one knot, whatever their labels
     pools: list[list[float]] = []  # sum, count, first x, last x
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        if pools and pools[-1][3] == a:
-            pools[-1][0] += b
-            pools[-1][1] += 1
-        else:
-            pools.append([b, 1, a, a])
+    for a, total, n in zip(at.tolist(), np.bincount(which, y).tolist(), np.bincount(which).tolist(), strict=True):
+        pools.append([total, n, a, a])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             s, n, _, last = pools.pop()
             pools[-1][0] += s

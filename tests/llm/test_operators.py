@@ -532,6 +532,75 @@ def test_toxicity_on_held_out_labels(spark):
     assert (right & toxic).sum() / right.sum() > 0.85 and (right & toxic).sum() / toxic.sum() > 0.7
 
 
+def dense_features(text, odds, beginnings):
+    """The features of one text, word by word and byte by byte."""
+    plain, ws = (text or "").encode(), [w.encode() for w in words(text)]
+    told = [odds.get(w, 0.0) for w in ws]
+    begun = [max([beginnings.get(w[:n], 0.0) for n in toxicity.BEGINNINGS if len(w) > n] + [0.0]) for w in ws]
+    hit = [a > 0 or b > 0 for a, b in zip(told, begun, strict=True)]
+    you = [w.decode() in toxicity.SECOND_PERSON for w in ws]
+    near = [h and any(you[max(0, k - toxicity.NEAR) : k + toxicity.NEAR + 1]) for k, h in enumerate(hit)]
+    masked = [odds.get(w, 0.0) > 0 for w in plain.translate(toxicity.LOOK_ALIKE).split()]
+    letter = [65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in plain]
+    mark = [32 < b < 127 and not x and not 48 <= b <= 57 for b, x in zip(plain, letter, strict=True)]
+    inside = [0 < k < len(plain) - 1 and b in b"0134579@$*!#%&_" and letter[k - 1] and letter[k + 1] for k, b in enumerate(plain)]
+    same = [k > 1 and letter[k] and plain[k] == plain[k - 1] == plain[k - 2] for k in range(len(plain))]
+    n, size, letters = max(1, len(ws)), max(1, len(plain)), max(1, sum(letter))
+    upper = sum(65 <= b <= 90 for b in plain)
+    return [
+        sum(hit) / n, np.log1p(sum(hit)), sum(told) / n, sum(begun) / n, np.log1p(sum(b > 0 for b in begun)), max(0, sum(masked) - sum(o > 0 for o in told)),
+        sum(near) / max(1, sum(hit)), sum(you) / n, upper / letters, plain.count(b"!") / size, plain.count(b"?") / size, sum(mark) / size, sum(inside) / letters, sum(same) / letters, np.log1p(n),
+    ]
+
+
+def test_toxic_features_equal_brute_force():
+    import pyarrow as pa
+
+    odds, starts = {b"fool": 2.0, b"vile": 3.5, b"dolt": 2.5}, {b"idio": 4.0, b"scumb": 2.2}
+    keys = [(toxicity.keyed(toxicity.hashes_of([w.decode()]), 0), v) for w, v in odds.items()] + [(toxicity.keyed(toxicity.hashes_of([w.decode()]), len(w)), v) for w, v in starts.items()]
+    lexicon = toxicity.Lexicon(np.concatenate([k for k, _ in keys]), np.array([v for _, v in keys]))
+    rng = np.random.default_rng(12)
+    parts = ["you", "FOOL", "f00l", "v1le!", "idiotic", "scumbag", "idio", "the", "sooo", "dolt??", "\u00e9t\u00e9", "1x", "a", "7", "du"]
+    texts = ["", None, "a", "1", "aa", "aaa", "x1", "1x"] + [" ".join(rng.choice(parts, int(rng.integers(1, 40)))) for _ in range(60)] + ["a", "1x1", "zzz"]
+    got = toxicity.features(*textscan.text_bytes(pa.array(texts)), lexicon)
+    np.testing.assert_allclose(got, [dense_features(t, odds, starts) for t in texts], atol=1e-9)
+    np.testing.assert_allclose(got, [toxicity.features(*textscan.text_bytes(pa.array([t], pa.string())), lexicon)[0] for t in texts], atol=1e-9)
+
+
+def test_a_tree_takes_the_best_splits():
+    rng = np.random.default_rng(13)
+    b = rng.integers(0, 5, (80, 3))
+    grad, hess = rng.normal(size=80) + (b[:, 1] > 2), rng.uniform(0.1, 0.25, 80)
+    feature, cut, leaf, at = toxicity._tree(b, grad, hess)
+
+    def gain(mine, j, c):
+        left = mine & (b[:, j] <= c)
+        right = mine & ~left
+        if hess[left].sum() <= 1 or hess[right].sum() <= 1:
+            return 0.0
+        part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 1)
+        return part(left) + part(right) - part(mine)
+
+    node = np.zeros(80, int)
+    for n in range(2**toxicity.DEPTH - 1):
+        mine = node == n
+        best = max(gain(mine, j, c) for j in range(3) for c in range(5))
+        assert gain(mine, feature[n], cut[n]) == pytest.approx(max(best, 0)) or best <= 1e-6
+        node[mine] = 2 * n + 1 + (b[mine, feature[n]] > cut[n])
+    assert (at == node - (2**toxicity.DEPTH - 1)).all()
+    for k in range(2**toxicity.DEPTH):
+        assert leaf[k] == pytest.approx(toxicity.RATE * grad[at == k].sum() / (hess[at == k].sum() + 1))
+
+
+def test_toxicity_with_clashing_columns_and_repeated_rows(spark):
+    docs = table(spark, [(i, f"vile fool {i}" if i % 2 else f"kind word {i}", 1.0, 2) for i in range(60)] * 2, "doc_id long, text string, score double, t int")
+    labels = table(spark, [(i, i % 2, "x") for i in range(60)] + [(1, 0, "x"), (2, None, "x")], "doc_id long, toxic int, text string")
+    model = toxicity.learn(docs, labels)
+    out = toxicity.score_toxicity(docs, *model, keep=("score", "t"), score_name="tox").collect()
+    assert len(out) == 120 and all((r.tox > 0.5) == bool(r.doc_id % 2) and (r.score, r.t) == (1.0, 2) for r in out)
+    assert toxicity.score_toxicity(docs.limit(0), *model).count() == 0
+
+
 def test_toxicity_without_both_labels(spark):
     docs = table(spark, [(1, "a b"), (2, None)], "doc_id long, text string")
     for data, want in (([], 0.0), ([(1, 1), (2, None), (None, 1), (9, 0)], 1.0)):
@@ -539,6 +608,17 @@ def test_toxicity_without_both_labels(spark):
         assert {r.score for r in toxicity.score_toxicity(docs, *model).collect()} == {want}
 
 
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 1)), min_size=1, max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_isotonic_is_the_least_squares_fit(pairs):
+    x, y = np.array([p[0] for p in pairs], float), np.array([p[1] for p in pairs], float)
+    kinds = np.unique(x)
+    fitted = np.interp(kinds, *toxicity.isotonic(x, y))
+    for k, at in enumerate(kinds):  # the largest over beginnings of the smallest over ends of the means between
+        want = max(min(y[(x >= a) & (x <= z)].mean() for z in kinds[k:]) for a in kinds[: k + 1])
+        assert fitted[k] == pytest.approx(want), at
+
+
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 1)), min_size=1, max_size=40))
 @settings(max_examples=60, deadline=None)
 def test_isotonic_is_monotone_and_keeps_the_mean(pairs):
@@ -577,3 +657,30 @@ def test_url_verdicts_equal_brute_force(spark):
     plan = url_filter.judge_urls(pages, table(spark, [("a.org",)], "url string"), RULES)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert url_filter.judge_urls(pages.limit(0), table(spark, [], "url string"), []).count() == 0
+
+
+# --- queries against their SQL
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted(map(str, (tuple(r) for r in df.select(*cols).collect())))
+    assert got == sorted(map(str, con.sql(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall())) and got
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+def test_query_over_the_whole_table(spark, name):
+    ids = sorted(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+    assert sorted(r.doc_id for r in queries.QUERIES[name](spark, SF).collect()) == ids
+
+
+def test_ngram_join_of_no_rows(spark):
+    none = table(spark, [], "doc_id long, text string")
+    assert ngram_join.ngram_join(none).count() == 0 and ngram_join.keep_one(none).count() == 0

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tests.llm.test_operators import contaminated, copies, deduped, linked, words
+from loomvec.llm import textscan, toxicity
+from loomvec.llm.common import crc32_of_id, drop_tables, tables
+from loomvec.llm.queries import PIECE_MODEL, TOXIC_AT, tokenizer_path
+from tests.llm.test_operators import contaminated, copies, deduped, linked
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_hit int"
@@ -48,13 +53,34 @@ def test_toxic_stage_keeps_clean_documents(spark):
     assert kept[0] > 0.99 * all_[0] and kept.get(1, 0) < 0.3 * all_[1]
 
 
-def test_run_on_the_small_table(spark):
-    out = corpus_pipeline.run(spark, SF)
-    rows = out.collect()
-    assert 0 < len(rows) <= 200 and len({r.doc_id for r in rows}) == len(rows)
-    assert all(r.n_tokens == len(r.ids) for r in rows)
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert all(r.n_tokens <= 8 * max(1, len(texts[r.doc_id])) and words(texts[r.doc_id]) is not None for r in rows)
+def test_run_equals_the_stages_by_brute_force(spark):
+    import sentencepiece
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    before = tables(spark)
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
+    new = [p for p in tables(spark) if p not in before]
+    assert len(new) == 1  # the last stage's, which the result reads
+    drop_tables(spark, new)
+    lexicon, trees = toxicity.learn(docs, labels, crc32_of_id(F.col("doc_id")) % 4 != 2)
+    left = []
+    for r in docs.collect():
+        x = toxicity.features(*textscan.text_bytes(pa.array([r.text], pa.string())), lexicon)
+        if trees.score(x)[0] < TOXIC_AT:
+            left.append((r.doc_id, r.text))
+    left = [(d, t) for d, t, n, gone in deduped(left) if not (gone and gone == n)]
+    least = {c for _, c, _ in linked(left)}
+    left = [(d, t) for d, t in left if d in least]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = {r[0] for r in contaminated(left, items) if not r[5]}
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(PIECE_MODEL))
+    assert got == {d: library.encode(t or "") for d, t in left if d in clean}
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 @pytest.mark.parametrize("k", range(5))
