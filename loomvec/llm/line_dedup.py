@@ -21,7 +21,8 @@ with it. Steps:
 
 Step 3 moves packed columns (one row per batch and task), not one row per word. A word that
 is in over ``BLOCK`` prefixes is dealt out in pairs of blocks of its sets, so a task holds
-about ``POSTINGS`` records, however frequent a word is.
+about ``POSTINGS`` records, however frequent a word is. At most ``FREQUENT`` words are dealt
+out like this: with more than ``BLOCK * FREQUENT`` postings the blocks grow.
 
 Defined results: null text stays null; lines without words stay; a document whose lines
 all go has an empty text; rows with equal id and text are one document, each gets the same
@@ -44,7 +45,7 @@ THRESHOLD = 0.8
 RANK_BITS = 18
 SMALLEST = 4
 SLOT_BITS, SLOT_CHUNKS = 22, 64
-BLOCK = 1 << 15
+BLOCK, FREQUENT = 1 << 15, 1 << 20
 POSTINGS = 500_000
 PAIRS = 1_000_000
 NO_ID = 2**63 - 1
@@ -183,43 +184,55 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunks[k].astype("<u4").tobytes()], pa.binary())], ["chunk", "counts"])
 
 
-def _slot_sums(block: int):
-    """Of a chunk of slots: a bitmap of those with one posting, those with over ``block`` and their counts, and all postings."""
+def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a chunk of slots: their counts, cut at 2**32 - 1, as a binary, and all postings."""
+    total, chunk = np.zeros((1 << SLOT_BITS) // SLOT_CHUNKS, np.int64), None
+    for batch in batches:
+        for k, data in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+            chunk = k
+            total += np.frombuffer(data.as_buffer(), "<u4")
+    if chunk is not None:
+        counts = np.minimum(total, 2**32 - 1).astype("<u4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([counts], pa.binary()), pa.array([int(total.sum())], pa.int64())], ["chunk", "counts", "n"])
+
+
+def _words_of(slots: np.ndarray):
+    """(word, postings) of the prefix words in some slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, chunk = np.zeros((1 << SLOT_BITS) // SLOT_CHUNKS, np.int64), None
         for batch in batches:
-            for k, data in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
-                chunk = k
-                total += np.frombuffer(data.as_buffer(), "<u4")
-        if chunk is not None:
-            hot = np.flatnonzero(total > block)
-            cols = [pa.array([chunk], pa.int32()), pa.array([np.packbits(total == 1).tobytes()], pa.binary()), pa.array([hot + chunk * len(total)], pa.list_(pa.int64())), pa.array([total[hot]], pa.list_(pa.int64())), pa.array([int(total.sum())], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["chunk", "single", "hot", "hot_n", "n"])
+            tok, _ = _prefix_words(batch)
+            found, n = np.unique(tok[np.isin(_slot(tok), slots)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
     return run
 
 
 class Frequencies:
-    """What the postings of all sets say about their words' slots; its size does not depend on the data.
+    """What the postings of all sets say about their words; its size has a bound that does not depend on the data.
 
-    ``single``: slots with one posting, which meets none. ``blocks``: into how many blocks the
-    sets of each frequent slot are dealt. ``total``: records that the tasks get in all.
+    ``single``: slots with one posting, which meets none. ``hot``: words with over ``block``
+    postings, and into how many ``blocks`` the sets of each are dealt. ``total``: records that
+    the tasks get in all.
     """
 
     def __init__(self, sets: DataFrame, block: int) -> None:
         counted = sets.select("prefix").mapInArrow(_slot_counts, "chunk int, counts binary")
-        found = counted.repartitionById(SLOT_CHUNKS, F.col("chunk")).mapInArrow(_slot_sums(block), "chunk int, single binary, hot array<long>, hot_n array<long>, n long").collect()
-        single = np.zeros((SLOT_CHUNKS, (1 << SLOT_BITS) // SLOT_CHUNKS // 8), np.uint8)
+        found = counted.repartitionById(SLOT_CHUNKS, F.col("chunk")).mapInArrow(_slot_sums, "chunk int, counts binary, n long").collect()
+        count = np.zeros((SLOT_CHUNKS, (1 << SLOT_BITS) // SLOT_CHUNKS), np.uint32)
         for r in found:
-            single[r.chunk] = np.frombuffer(r.single, np.uint8)
-        self.single = single.ravel()
-        hot = np.array([x for r in found for x in r.hot], np.int64)
-        count = np.array([x for r in found for x in r.hot_n], np.int64)
-        order = np.argsort(hot)
-        self.hot, count = hot[order], count[order]
-        self.blocks = -(-count // block)
-        self.total = sum(r.n for r in found) + int((count * (self.blocks - 1)).sum())
+            count[r.chunk] = np.frombuffer(r.counts, "<u4")
+        self.single, self.total = np.packbits(count.ravel() == 1), sum(r.n for r in found)
+        block = max(block, self.total // FREQUENT)
+        slots = np.flatnonzero(count.ravel() > block)
+        frequent = []
+        if len(slots):  # a slot may hold many words; exact counts tell the frequent ones
+            words = sets.select("prefix").mapInArrow(_words_of(slots), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            frequent = words.where(F.col("n") > block).orderBy("word").collect()
+        self.hot = np.array([r.word for r in frequent], np.uint32)
+        n = np.array([r.n for r in frequent], np.int64)
+        self.blocks = -(-n // block)
+        self.total += int((n * (self.blocks - 1)).sum())
 
 
 def open_flags(sets: DataFrame) -> np.ndarray:
@@ -262,11 +275,11 @@ def _postings(n_tasks: int, words: Frequencies, flags: np.ndarray | None = None)
             left = batch.column("size").to_numpy(zero_copy_only=False)[owner] - (np.arange(len(tok)) - off[:-1][owner])
             slot = _slot(tok)
             use = np.flatnonzero(wanted[slot])
-            tok, owner, left, slot = tok[use], owner[use], left[use].astype(np.uint32), slot[use]
+            tok, owner, left = tok[use], owner[use], left[use].astype(np.uint32)
             unit, key = tok, batch.column("one").to_numpy(zero_copy_only=False).view(np.uint64)
             if len(hot):  # each record of a frequent word goes to every pair of blocks that its own is in
-                at = np.minimum(np.searchsorted(hot, slot), len(hot) - 1)
-                n = np.where(hot[at] == slot, blocks[at], 1)
+                at = np.minimum(np.searchsorted(hot, tok), len(hot) - 1)
+                n = np.where(hot[at] == tok, blocks[at], 1)
                 one = np.repeat(np.arange(len(tok)), n)
                 own = (ts.mix(key[owner]) % n.astype(np.uint64)).astype(np.int64)[one]
                 other = np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
@@ -373,7 +386,7 @@ def _candidates(threshold: float, earliest: bool):
 
 def _pairs(sets: DataFrame, words: Frequencies, threshold: float, flags: np.ndarray | None = None) -> DataFrame:
     """(set, its earlier partner p_..., more). Without ``flags`` each set's earliest partner, else all of open sets."""
-    n_tasks = max(4 * partitions(sets.sparkSession), words.total // POSTINGS + 1)
+    n_tasks = max(partitions(sets.sparkSession), words.total // POSTINGS + 1)
     sent = sets.select(*SET, "size", "bits", "bits2", "prefix", *["open"] * (flags is not None)).mapInArrow(_postings(n_tasks, words, flags), "task int, data binary")
     found = sent.repartitionById(n_tasks, F.col("task")).mapInArrow(_candidates(threshold, flags is None), f"{SET_KIND}, p_one long, p_d long, p_line int, more boolean")
     if flags is not None:
