@@ -50,7 +50,25 @@ def microbatch_windows(log: DataFrame, key: str, seq: str, at_us: str, timeout_u
     return cols.repartition(n, key).sortWithinPartitions(key, at_us, seq).mapInPandas(run, f"{kinds}, window long, place long")
 
 
+def numbered(df: DataFrame, key: str, seq: str, out: str = "number", slices: int = 64) -> DataFrame:
+    """Adds the place from 0 of each row among its key's, in the order of ``seq`` (a number without ties within a key).
+
+    Rows are sorted within (key, slice), where slices lie between quantiles of ``seq``; the counts
+    of a key's earlier slices are added. So a key with a third of all rows is spread over the
+    slices, and only one row per key and slice meets in one place.
+    """
+    cuts = df.agg(F.percentile_approx(seq, [k / slices for k in range(1, slices)], 100 * slices).alias("cuts")).first().cuts or []
+    number = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(seq))) if cuts else F.lit(0)
+    rows = df.withColumn("__slice", number)
+    here = F.row_number().over(W.partitionBy(key, "__slice").orderBy(seq)) - 1
+    earlier = W.partitionBy("__key").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    before = rows.groupBy(F.col(key).alias("__key"), "__slice").agg(F.count("*").alias("__n"))
+    before = before.select("__key", F.col("__slice").alias("__of"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    met = rows.withColumn("__here", here).join(before, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__slice") == F.col("__of")))
+    return met.withColumn(out, F.col("__before") + F.col("__here")).drop("__slice", "__here", "__key", "__of", "__before")
+
+
 def round_robin(log: DataFrame, key: str, seq: str, workers: int) -> DataFrame:
     """Adds ``worker``: requests of each key in turn, in ``seq`` order."""
-    turn = F.row_number().over(W.partitionBy(key).orderBy(seq)) - 1
-    return log.withColumn("worker", F.pmod(turn, F.lit(workers)))
+    out = numbered(log, key, seq, "__turn")
+    return out.withColumn("worker", F.pmod("__turn", F.lit(workers)).cast("int")).drop("__turn")

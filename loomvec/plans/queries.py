@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from loomvec.functions import tokens as T
 from loomvec.functions import vectors as V
@@ -471,8 +470,7 @@ b AS (SELECT model, batch, count(*) AS n, max(latency_us) AS took, bool_or(faile
 SELECT model, sum(n)::BIGINT AS requests, count(*) AS batches, count_if(failed) AS errors, floor(sum(took) / sum(n))::BIGINT AS avg_latency_us FROM b GROUP BY model
 """)
 def stats_batched_latency(spark, sf_dir):
-    place = F.row_number().over(W.partitionBy("model").orderBy("event_id")) - 1
-    log = _log(spark, sf_dir).withColumn("batch", F.floor(place / MAX_BATCH))
+    log = batching.numbered(_log(spark, sf_dir), "model", "event_id", "place").withColumn("batch", F.floor(F.col("place") / MAX_BATCH))
     return stats.per_model_batched(log)
 
 

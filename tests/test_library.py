@@ -247,6 +247,14 @@ def test_repeats_inside_a_command_are_misses(spark):
     assert sorted(r.hit for r in cache.unbounded_hits(df, ["m", "t"], "c").collect()) == [False, False, True]
 
 
+def test_numbers_within_keys(spark):
+    rng = np.random.default_rng(23)
+    rows = [([None, "a", "b"][int(k)], int(i)) for k, i in zip(rng.integers(0, 3, 300), rng.permutation(300), strict=True)]
+    got = {(r.k, r.i): r.number for r in batching.numbered(spark.createDataFrame(rows, "k string, i long"), "k", "i", slices=7).collect()}
+    assert got == {(k, i): sorted(j for x, j in rows if x == k).index(i) for k, i in rows}
+    assert batching.numbered(spark.createDataFrame([], "k string, i long"), "k", "i").count() == 0
+
+
 def test_windows_close_by_count_and_by_time():
     w = batching.Window(10, 2)
     assert [w.add(t) for t in (0, 1, 2, 11, 12, 13)] == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2)]
