@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -50,6 +50,18 @@ def microbatch_windows(log: DataFrame, key: str, seq: str, at_us: str, timeout_u
     return cols.repartition(n, key).sortWithinPartitions(key, at_us, seq).mapInPandas(run, f"{kinds}, window long, place long")
 
 
+def cuts_below(col: Column, cuts: list) -> Column:
+    """How many of some distinct, sorted values are smaller than a column's; a few comparisons per row. 0 for null."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(col > F.lit(cuts[middle]), between(middle + 1, high)).otherwise(between(low, middle))
+
+    return between(0, len(cuts))
+
+
 def numbered(df: DataFrame, key: str, seq: str, out: str = "number", slices: int = 64) -> DataFrame:
     """Adds the place from 0 of each row among its key's, in the order of ``seq`` (a number without ties within a key).
 
@@ -58,8 +70,7 @@ def numbered(df: DataFrame, key: str, seq: str, out: str = "number", slices: int
     slices, and only one row per key and slice meets in one place.
     """
     cuts = df.agg(F.percentile_approx(seq, [k / slices for k in range(1, slices)], 100 * slices).alias("cuts")).first().cuts or []
-    number = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(seq))) if cuts else F.lit(0)
-    rows = df.withColumn("__slice", number)
+    rows = df.withColumn("__slice", cuts_below(F.col(seq), sorted(set(cuts))))
     here = F.row_number().over(W.partitionBy(key, "__slice").orderBy(seq)) - 1
     earlier = W.partitionBy("__key").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     before = rows.groupBy(F.col(key).alias("__key"), "__slice").agg(F.count("*").alias("__n"))
@@ -68,6 +79,16 @@ def numbered(df: DataFrame, key: str, seq: str, out: str = "number", slices: int
     return met.withColumn(out, F.col("__before") + F.col("__here")).drop("__slice", "__here", "__key", "__of", "__before")
 
 
+def execution(settings: DataFrame) -> DataFrame:
+    """Adds ``mode`` and ``sessions``: a model with a batch timeout has one batcher with one session, any other ``workers`` with one each.
+
+    ``settings``: batch_timeout_ms, workers (null or non-positive: one).
+    """
+    batched = F.coalesce(F.col("batch_timeout_ms") > 0, F.lit(False))
+    each = F.greatest(F.coalesce("workers", F.lit(1)), F.lit(1))
+    return settings.withColumns({"mode": F.when(batched, "batcher").otherwise("workers"), "sessions": F.when(batched, 1).otherwise(each).cast("long")})
+
+
 def round_robin(log: DataFrame, key: str, seq: str, workers: int) -> DataFrame:
     """Adds ``worker``: requests of each key in turn, in ``seq`` order."""
     out = numbered(log, key, seq, "__turn")

@@ -605,6 +605,11 @@ LISTINGS = [
 ]
 
 
+@query(f"SELECT name, CASE WHEN timeout > 0 THEN 'batcher' ELSE 'workers' END AS mode, CASE WHEN timeout > 0 THEN 1 ELSE workers END::BIGINT AS sessions FROM ({_SERVED})")
+def execution_mode(spark, sf_dir):
+    return batching.execution(_served(spark, sf_dir)).select("name", "mode", "sessions")
+
+
 _LISTINGS = ", ".join(f"('{r}', {names})" for r, names in LISTINGS)
 
 

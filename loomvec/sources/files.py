@@ -133,6 +133,12 @@ def pick_model_file(listing: DataFrame) -> DataFrame:
     return files.withColumn("__at", F.row_number().over(W.partitionBy("repo").orderBy(rank, "path"))).where("__at = 1").drop("__at")
 
 
+def command_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """(connection, seq, args) of a folder of JSON lines, as a table or as a stream of new files."""
+    reader = spark.readStream if stream else spark.read
+    return reader.schema("connection long, seq long, args array<string>").json(path)
+
+
 def verification_set(spark: SparkSession, path: str) -> DataFrame:
     """(pos, sentence, embedding) of a JSON file with ``sentences`` and ``embeddings``."""
     doc = spark.read.schema("model string, dim int, sentences array<string>, embeddings array<array<double>>").json(path, multiLine=True)

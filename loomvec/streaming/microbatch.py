@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomvec.operators.batching import Window
@@ -65,6 +67,17 @@ def stream_windows(events: DataFrame, key: str, seq: str, at: str, timeout_us: i
     return timed.groupBy(key).applyInPandasWithState(run, out, f"number long, start long, held array<{kind}>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def drain(query: StreamingQuery, seconds: float = 30.0) -> bool:
+    """Stop a stream when it has nothing left to do, at the latest after ``seconds``; whether all that was there is done."""
+    end, done = time.monotonic() + seconds, False
+    while query.isActive and not done and time.monotonic() < end:
+        now = query.status
+        done = not (now["isDataAvailable"] or now["isTriggerActive"]) and query.lastProgress is not None
+        time.sleep(0 if done else 0.1)
+    query.stop()
+    return done
+
+
 def windowed_counters(events: DataFrame, at: str, model: str, latency: str, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Requests and average latency of each model and event-time window, with a watermark for late events."""
     timed = events.withColumn("__at", F.col(at).cast("timestamp")).withWatermark("__at", late)

@@ -17,7 +17,7 @@ from loomvec.functions import vectors as V
 from loomvec.operators import batching, cache, commands, embed
 from loomvec.plans import catalog, queries
 from loomvec.sources import files
-from loomvec.streaming.microbatch import stream_windows, windowed_counters
+from loomvec.streaming.microbatch import drain, stream_windows, windowed_counters
 
 DUCK = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
@@ -307,6 +307,17 @@ def test_stream_counters(spark, tmp_path):
     assert one(spark.table("counters").agg(F.sum("requests"))) == events.count()
 
 
+def test_command_stream_drains(spark, tmp_path):
+    rows = [{"connection": i % 2, "seq": i, "args": ["EMBED", "m", f"t{i}"] if i % 3 else ["ping"]} for i in range(9)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    parsed = commands.parsed(files.command_log(spark, str(tmp_path / "in"), stream=True))
+    q = parsed.writeStream.format("memory").queryName("commands").start()
+    assert drain(q) and not q.isActive
+    want = sorted((r.seq, r.command) for r in commands.parsed(files.command_log(spark, str(tmp_path / "in"))).collect())
+    assert sorted((r.seq, r.command) for r in spark.table("commands").collect()) == want and len(want) == 9
+
+
 def test_lookup_and_gates(spark):
     log = [(1, 1, ["embed", "m", "t"]), (1, 2, ["ping"]), (1, 3, ["auth", "no"]), (1, 4, ["AUTH", "pw"]), (1, 5, ["embed", "m", "t"]), (2, 6, ["models"]), (2, 7, [])]
     df = spark.createDataFrame(log, "c int, s int, args array<string>")
