@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomvec.llm.urls import canonical_url
+from loomvec.operators.batching import cuts_below
 
 SLICES = 64
 
@@ -54,14 +55,13 @@ def _cuts(rows: DataFrame, column: str, slices: int) -> list:
 
 def _slice(rows: DataFrame, slices: int) -> Column:
     """A slice number that never falls as (time, id) rises."""
-    below = lambda col, cuts: F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]).cast("array<bigint>"), lambda c: c < col))
     cuts = _cuts(rows, "ts", slices) if slices > 1 else []
     often = sorted({c for c in cuts if cuts.count(c) > 1})
-    number = 2 * below(F.col("ts"), cuts)
+    number = 2 * cuts_below(F.col("ts"), sorted(set(cuts)))
     if not often:
         return number.cast("long")
     ids = dict(rows.dtypes)["record_id"] in ("tinyint", "smallint", "int", "bigint")
-    inside = below(F.col("record_id"), _cuts(rows, "record_id", slices)) if ids else F.lit(0)
+    inside = cuts_below(F.col("record_id"), sorted(set(_cuts(rows, "record_id", slices)))) if ids else F.lit(0)
     at = F.col("ts").isin(*often)  # such a time comes after the smaller ones of its slice
     return (number + F.when(at, 1).otherwise(0)).cast("long") * slices + F.when(at, inside).otherwise(0)
 
