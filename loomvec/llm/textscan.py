@@ -98,25 +98,34 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterato
     give_back()
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of a byte array on, as one number; zeros after its end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def _later_chunks(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers from 1 of the 8-byte chunks after each span's first, how many each span has)."""
+    n = (lens - 1) // 8
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + 1, n
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each byte span: its 8-byte chunks, each scrambled with its number, summed up.
 
     Hashes of different seeds are independent, so two make a 128-bit key.
     """
-    padded = np.zeros(len(raw) + 8, np.uint8)
-    padded[: len(raw)] = raw
-    window = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    window = eights(raw)
     salt = mix(np.array([seed], np.uint64) + _CHUNK)
     lens = ends - starts
     out = mix((window[starts] & _FIRST_BYTES[np.minimum(lens, 8)]) ^ salt)
     more = np.flatnonzero(lens > 8)
     if len(more):
-        n = (lens[more] - 1) // 8
-        first = np.cumsum(n) - n
-        k = np.arange(int(n.sum())) - np.repeat(first, n) + 1
+        k, n = _later_chunks(lens[more])
         at = np.repeat(starts[more], n) + 8 * k
         part = window[at] & _FIRST_BYTES[np.minimum(np.repeat(ends[more], n) - at, 8)]
-        out[more] += np.add.reduceat(mix(part ^ mix(k.astype(np.uint64) * _CHUNK + salt)), first)
+        out[more] += np.add.reduceat(mix(part ^ mix(k.astype(np.uint64) * _CHUNK + salt)), np.cumsum(n) - n)
     return mix(out + lens.astype(np.uint64) * _LENGTH)
 
 
@@ -171,17 +180,23 @@ class Words:
 def distinct_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of one span of each distinct content, which distinct content each span has).
 
-    Spans are grouped by hash, then compared byte by byte; if two contents ever share a
+    Spans are grouped by hash, then compared by all their bytes; if two contents ever share a
     hash, the grouping is done again by the contents themselves.
     """
     hashes = span_hashes(raw, starts, ends)
     _, rep, which = np.unique(hashes, return_index=True, return_inverse=True)
     lens = ends - starts
     same = bool((lens == lens[rep[which]]).all())
-    if same and len(starts):
-        first = np.cumsum(lens) - lens
-        within = np.arange(int(lens.sum())) - np.repeat(first, lens)
-        same = bool((raw[within + np.repeat(starts, lens)] == raw[within + np.repeat(starts[rep[which]], lens)]).all())
+    if same and len(starts):  # 8 bytes at once; what lies behind a span's end is masked
+        window = eights(raw)
+        begin = window[starts] & _FIRST_BYTES[np.minimum(lens, 8)]
+        same = bool((begin == begin[rep][which]).all())
+        more = np.flatnonzero(lens > 8)
+        if same and len(more):
+            k, n = _later_chunks(lens[more])
+            left = _FIRST_BYTES[np.minimum(np.repeat(lens[more], n) - 8 * k, 8)]
+            other = np.repeat(starts[rep[which[more]]], n) + 8 * k
+            same = bool(((window[np.repeat(starts[more], n) + 8 * k] ^ window[other]) & left == 0).all())
     if not same:
         seen: dict[bytes, int] = {}
         which = np.array([seen.setdefault(raw[a:b].tobytes(), len(seen)) for a, b in zip(starts, ends, strict=True)])

@@ -16,7 +16,9 @@ take two bytes if they fit, else four.
 
 Encoding: texts are cut before single spaces between other characters, where the
 tokenizer's own pre-tokenizer always cuts; each distinct chunk of a batch is encoded once
-by the tokenizers library.
+by the tokenizers library. Chunks of one space and then surely none (``plain``) go to it
+joined, many in one string, as each call costs as much as a chunk: a token that begins with
+the space begins the next chunk. If the counts don't agree, they go one by one.
 
 Defined results: null and empty text hold only the end id; null document ids come first;
 rows that repeat an id follow each other in the order of their text; an empty table gives
@@ -45,6 +47,7 @@ from loomvec.llm.common import partitions, write
 BLOCK_IDS = 1 << 20
 _HEAD = struct.Struct("<4s11Q")
 _DIRECTORY = 512
+_ODD = np.array([0x3C, 0x7F, 0xC2, 0xE1, 0xE2, 0xE3], np.uint8)  # of special tokens, control and lead bytes of other spaces
 READ = 4096
 
 
@@ -151,23 +154,43 @@ class Chunks:
     bounds the memory and keeps the frequent ones.
     """
 
-    MOST, MOST_IDS, LONGEST = 400_000, 4_000_000, 64
+    MOST, MOST_IDS, LONGEST, AT_ONCE, JOINED = 400_000, 4_000_000, 64, 4096, 64
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.known = tokenizer(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # the byte-level sign of a space
         self.flat, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
-    def ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first and number of each chunk's)."""
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids in each)."""
+        rows = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(chain.from_iterable(rows), "<u4", int(size.sum())), size
+
+    def _joined(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of plain chunks."""
+        n = self.JOINED
+        flat, _ = self._encoded([b"".join(chunks[a : a + n]).decode() for a in range(0, len(chunks), n)])
+        first = np.flatnonzero(self.begins[flat])
+        if len(first) == len(chunks) and (not len(first) or first[0] == 0):
+            return flat, np.diff(np.append(first, len(flat)))
+        return self._encoded([c.decode() for c in chunks])
+
+    def ids(self, chunks: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first and number of each chunk's); ``plain`` tells the chunks that may be joined."""
         at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
         new = np.flatnonzero(at < 0)
         if len(new):
-            fresh = [chunks[k] for k in new.tolist()]
-            rows = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)]
-            size = np.fromiter(map(len, rows), np.int64, len(rows))
+            new = new[np.argsort(~plain[new], kind="stable")]
+            fresh, n_plain = [chunks[k] for k in new.tolist()], int(plain[new].sum())
+            parts = [(self.flat, self.size)]
+            parts += [self._joined(fresh[a : min(a + self.AT_ONCE, n_plain)]) for a in range(0, n_plain, self.AT_ONCE)]
+            parts += [self._encoded([c.decode() for c in fresh[a : a + self.AT_ONCE]]) for a in range(n_plain, len(fresh), self.AT_ONCE)]
+            flat, sizes = zip(*parts, strict=True)
             at[new] = len(self.size) + np.arange(len(new))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(rows), "<u4", int(size.sum()))])
-            self.size = np.concatenate([self.size, size])
+            self.flat, self.size = np.concatenate(flat), np.concatenate(sizes)
             self.known.update((c, k) for c, k in zip(fresh, at[new].tolist(), strict=True) if len(c) <= self.LONGEST)
         first = (np.cumsum(self.size) - self.size)[at]
         found = self.flat, first, self.size[at]
@@ -219,7 +242,10 @@ def encode_texts(path: str, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     rep, which = ts.distinct_spans(raw, starts, ends) if len(starts) else (starts, starts)
     chunk, chunk_off = ts.joined(raw, starts[rep], ends[rep])
     data = chunk.tobytes()
-    flat, begin, size = chunk_ids(path).ids([data[a:b] for a, b in zip(chunk_off[:-1].tolist(), chunk_off[1:].tolist(), strict=True)])
+    odd = np.concatenate([[0], np.cumsum((chunk <= 32) | np.isin(chunk, _ODD))])
+    first = chunk[np.minimum(chunk_off[:-1], max(len(chunk) - 1, 0))] if len(chunk) else chunk
+    plain = (first == 32) & (odd[chunk_off[1:]] - odd[chunk_off[:-1]] == 1) & (np.diff(chunk_off) > 1)
+    flat, begin, size = chunk_ids(path).ids([data[a:b] for a, b in zip(chunk_off[:-1].tolist(), chunk_off[1:].tolist(), strict=True)], plain)
     lens = size[which]
     total = np.concatenate([[0], np.cumsum(lens)])
     return flat[_ranges(begin[which], lens)], np.diff(total[np.searchsorted(starts, off)])

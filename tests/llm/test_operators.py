@@ -427,6 +427,19 @@ def test_token_store_round_trip(spark):
     assert back["ids"] == [0]
 
 
+@given(st.lists(st.text(alphabet="ab the\u00e9\u4e2d\u00a0\u2003\n<|>1.,'\x7f\U0001f642", max_size=60), max_size=8))
+@settings(max_examples=150, deadline=None)
+def test_byte_tokens_of_any_texts(texts):
+    import pyarrow as pa
+
+    path = tokenizer_path(BYTE_MODEL)
+    texts = [*texts, *(t + " <|endoftext|> the" for t in texts)]
+    flat, n = token_store.encode_texts(path, *textscan.text_bytes(pa.array(texts, pa.string())))
+    want = [token_store.tokenizer(path).encode(t, add_special_tokens=False).ids for t in texts]
+    ends = np.cumsum(n)
+    assert [flat[e - k : e].tolist() for e, k in zip(ends, n, strict=True)] == want
+
+
 @given(st.lists(st.one_of(st.integers(0, 2**40), st.integers(0, 2**64 - 1), st.integers(0, 9)), max_size=200))
 @settings(max_examples=80, deadline=None)
 def test_elias_fano_select(values):
