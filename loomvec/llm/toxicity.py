@@ -6,8 +6,8 @@ capitals, punctuation and obfuscation rates. The lexicon (hashes of words and of
 beginnings that mark toxic texts), the trees and the calibration are learned from labelled
 rows.
 
-Training takes at most ``MAX_ROWS`` labelled rows, those with the smallest hash of their
-id; this bound is a parameter. Statistics of the lexicon are gathered by Spark; the driver
+Training takes at most ``MAX_ROWS`` labelled ids, those with the smallest hash; this bound is
+a parameter. Their texts are written once to the shared folder. Statistics of the lexicon are gathered by Spark; the driver
 receives the lexicon (at most ``LEXICON`` hashes) and one feature row per training text.
 
 Defined results: null text is empty; an empty text is scored from its features; a text
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomvec.llm import textscan as ts
+from loomvec.llm.common import Scratch
 
 MAX_ROWS = 20_000
 LEXICON = 2_000
@@ -264,7 +265,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn_from: Column | None,
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[Lexicon, Trees]:
     """Lexicon and calibrated trees. ``learn_from``: condition on the labels' columns."""
-    rows = training_rows(docs, labels, learn_from, id_col, text_col, label_id, label_col, max_rows)
+    scratch = Scratch(docs.sparkSession)  # the documents are scanned once, the bounded sample several times
+    rows = scratch.write(training_rows(docs, labels, learn_from, id_col, text_col, label_id, label_col, max_rows), "toxicity-sample")
     size = rows.groupBy("y").count().collect()
     n = {r.y: r["count"] for r in size}
     bad, good = n.get(1, 0), n.get(0, 0)
@@ -283,6 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
 
     table = rows.where(~half if bad + good > 200 else F.lit(True)).mapInArrow(run, f"d {rows.schema['d'].dataType.simpleString()}, y int, x array<double>").withColumn("held", F.pmod(F.xxhash64("d", F.lit(11)), F.lit(4)) == 0)
     got = table.orderBy("d", "y", "x").toPandas()
+    scratch.drop("toxicity-sample")
     x = np.array(got["x"].tolist(), float).reshape(len(got), FEATURES)
     return lexicon, fit(x, got["y"].to_numpy(int), got["held"].to_numpy(bool))
 
