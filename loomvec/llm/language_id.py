@@ -146,56 +146,58 @@ class CrossParser:
         owner = np.repeat(np.arange(len(lens)), n_seg)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)
         begin = off[:-1][owner] + SEGMENT * within
-        stop, state = self._parse(coded, begin, np.minimum(SEGMENT, off[1:][owner] - begin), root, again)
-        reach = np.zeros((len(root), len(coded) + 1), np.int32)
-        np.cumsum(stop, axis=1, out=reach[:, 1:])
-        count = (reach[:, off[1:]] - reach[:, off[:-1]] + (lens > 0)).T.astype(float)
+        size = np.minimum(SEGMENT, off[1:][owner] - begin)
+        count, stops, state, rank = self._parse(coded, begin, size, root, again)
+        total = np.stack([np.bincount(owner, c, len(lens)) for c in count], axis=1) + (lens > 0)[:, None]
         # the parse before each border runs on until it stops where the parse after the border stops
         border = np.flatnonzero(within > 0)
         lane, lang = (x.ravel() for x in np.meshgrid(border, np.arange(len(root))))
-        now, at = state[lang, lane - 1], begin[lane]
-        end = np.minimum(at + SEGMENT, off[1:][owner[lane]])
+        now = state[lang, lane - 1]
         alone = np.zeros((len(lens), len(root)), bool)
-        for _ in range(SEGMENT):
+        for t in range(SEGMENT):
             if not len(lane):
                 break
-            c = coded[at]
+            c = coded[begin[lane] + t]
             new = self.table[now * self.classes + c]
-            ends = new < 0
-            np.add.at(count, (owner[lane], lang), ends.astype(float) - stop[lang, at])
-            met = ends & stop[lang, at]
-            now, at = np.where(ends, again[lang, c], new), at + 1
-            over = ~met & (at == end)
-            lost = over & (end < off[1:][owner[lane]])
+            ends, there = new < 0, stops[t][lang, rank[lane]]
+            np.add.at(total, (owner[lane], lang), ends.astype(float) - there)
+            met = ends & there
+            now = np.where(ends, again[lang, c], new)
+            over = ~met & (size[lane] == t + 1)
+            lost = over & (begin[lane] + t + 1 < off[1:][owner[lane]])
             alone[owner[lane[lost]], lang[lost]] = True
             live = ~(met | over)
-            lane, lang, now, at, end = lane[live], lang[live], now[live], at[live], end[live]
+            lane, lang, now = lane[live], lang[live], now[live]
         for j in np.flatnonzero(alone.any(axis=0)).tolist():  # segments that never agree
             texts = np.flatnonzero(alone[:, j])
-            stop, _ = self._parse(coded, off[texts], lens[texts], root[j : j + 1], again[j : j + 1])
-            sums = np.concatenate([[0], np.cumsum(stop[0])])
-            count[texts, j] = 1 + sums[off[texts + 1]] - sums[off[texts]]
-        return count
+            total[texts, j] = 1 + self._parse(coded, off[texts], lens[texts], root[j : j + 1], again[j : j + 1])[0][0]
+        return total
 
-    def _parse(self, coded: np.ndarray, begin: np.ndarray, size: np.ndarray, root: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where phrases end in spans that each start a phrase, (language, character), and the states that are left, (language, span)."""
+    def _parse(self, coded: np.ndarray, begin: np.ndarray, size: np.ndarray, root: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """Spans that each start a phrase, parsed side by side, longest first.
+
+        (phrase ends of each language and span, for each step where phrases end in the order of
+        length, the states that are left, each span's place in that order).
+        """
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
         most = int(size.max(initial=0))
         live = np.searchsorted(-size, -np.arange(most), "left")  # spans longer than t
         state = np.tile(root[:, None], (1, len(begin)))
-        stops = np.zeros((len(root), len(coded)), bool)
+        count = np.zeros((len(root), len(begin)), np.int32)
+        stops = []
         for t in range(most):
             k = live[t]
-            where = begin[:k] + t
-            c = coded[where]
+            c = coded[begin[:k] + t]
             new = self.table[state[:, :k] * self.classes + c]
             stop = new < 0
-            stops[:, where] = stop
+            count[:, :k] += stop
             state[:, :k] = np.where(stop, again[:, c], new)
-        out = np.empty_like(state)
-        out[:, order] = state
-        return stops, out
+            if t < SEGMENT:
+                stops.append(stop)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return count[:, rank], stops, state[:, rank], rank
 
     def predict(self, raw: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray]:
         chars, at = folded(raw, off)
